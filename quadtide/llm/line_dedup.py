@@ -4,8 +4,8 @@ A gram is the shortest run of lines from some line on that has ``gram_words`` wo
 its lines. Of all grams inside each shortest run of ``min_words`` words, the one with the least hash is a
 fingerprint, so two documents that share a run of at least ``min_words`` words share a fingerprint in it. Every
 fingerprint is joined with its first occurrence (the least document, then line); both sides are compared line by
-line outwards, as far as the neighbouring fingerprints, whose own matches carry on from there. Matches that touch
-form a run; a run of at least ``min_words`` words is deleted, the first occurrence stays.
+line outwards, as far as ``min_words`` words reach: further on the next shared fingerprint carries on. Matches that
+touch form a run; a run of at least ``min_words`` words is deleted, the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -69,10 +69,14 @@ def scan(batches, min_words: int, gram_words: int):
             if sum(sizes) < min_words:
                 continue
             found = fingerprints(hashes, sizes, min_words, gram_words)
-            for k, (h, a, b) in enumerate(found):
-                low = found[k - 1][1] if k else 0
-                high = found[k + 1][2] if k + 1 < len(found) else len(hashes)
-                rows.append((doc, txt, h, a, b, hashes[low:a][::-1], hashes[b + 1 : high + 1]))
+            for h, a, b in found:
+                low, total = a, 0
+                while low and (total := total + sizes[low - 1]) < min_words:
+                    low -= 1
+                high, total = b + 1, sum(sizes[a + 1 : b + 1])
+                while high < len(sizes) and (total := total + sizes[high]) < min_words:
+                    high += 1
+                rows.append((doc, txt, h, a, b, hashes[low:a][::-1], hashes[b + 1 : high]))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema, strict=True)], schema=schema)
 
 
