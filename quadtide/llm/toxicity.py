@@ -208,14 +208,14 @@ def scored(batches, lexicon: Lexicon, text_at: int, schema: pa.Schema):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], schema=schema)
 
 
-def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` (text, and whatever else) with toxicity, 0 to 1.
+def score(docs: DataFrame, lexicon: Lexicon, name: str = "toxicity") -> DataFrame:
+    """``docs`` (text, and whatever else) with a column ``name``, 0 to 1.
 
     A null or empty text scores what no match scores. Long texts are matched whole. Repeated rows score alike; an
-    empty table gives an empty result; a column named toxicity is replaced.
+    empty table gives an empty result; a column of that name is replaced.
     """
-    docs = docs.drop("toxicity")
-    out = T.StructType([*docs.schema.fields]).add("toxicity", T.DoubleType())
+    docs = docs.drop(name)
+    out = T.StructType([*docs.schema.fields]).add(name, T.DoubleType())
     schema, at = to_arrow_schema(out), docs.columns.index("text")
     return docs.mapInArrow(lambda it: scored(it, lexicon, at, schema), out)
 
@@ -227,4 +227,4 @@ def held_out(doc_id: Column) -> Column:
 
 def reject(docs: DataFrame, lexicon: Lexicon, at: float = 0.5) -> DataFrame:
     (name,) = fresh(docs, "score")
-    return score(docs, lexicon).withColumnRenamed("toxicity", name).filter(F.col(name) < at).select(*docs.columns)
+    return score(docs, lexicon, name).filter(F.col(name) < at).select(*docs.columns)
