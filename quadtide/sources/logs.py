@@ -15,7 +15,7 @@ def parse_log(lines: DataFrame) -> DataFrame:
     typed = lines.select("value", r.alias("r"), parts.alias("p"))
     return typed.select(
         F.try_element_at("p", F.lit(1)).alias("collection"), F.try_element_at("p", F.lit(2)).alias("timestamp"), *(F.expr(f"try_cast(r.{c} AS INT)").alias(c.lower()) for c in ("rSet", "x", "y")), F.col("r.userID").alias("user"),
-        F.when(F.size("p") != 2, F.col("value")).alias("corrupt"),
+        F.when(F.coalesce(F.size("p"), F.lit(0)) != 2, F.col("value")).alias("corrupt"),
     )
 
 
