@@ -26,39 +26,65 @@ def geohash_precision(width_km: Column) -> Column:
     return out.otherwise(COARSEST)
 
 
+def _spread(code: int, odd: bool) -> tuple[int, int]:
+    """Longitude and latitude bits of a character's five; characters at odd places begin with latitude."""
+    wide, narrow = (code >> 4 & 1) * 4 + (code >> 2 & 1) * 2 + (code & 1), (code >> 3 & 1) * 2 + (code >> 1 & 1)
+    return (narrow, wide) if odd else (wide, narrow)
+
+
+def _letters(odd: bool) -> str:
+    """The alphabet in the order of (longitude bits, latitude bits)."""
+    return "".join(ALPHABET[code] for code in sorted(range(32), key=lambda code: _spread(code, odd)))
+
+
 def geohash(lat: Column, lon: Column, precision: Column | int, longest: int = 9) -> Column:
-    """The cell of the given precision that holds the point, by interleaving 30-bit grid numbers."""
+    """The cell of the given precision that holds the point: each character is looked up by its bits of two grid numbers."""
     top = 2**30 - 1
     qx = F.least(F.floor((lon + 180) / 360 * 2**30), F.lit(top)).cast("long")
     qy = F.least(F.floor((lat + 90) / 180 * 2**30), F.lit(top)).cast("long")
 
-    def cell(x: Column, y: Column) -> Column:
-        chars = []
+    def cell(q: Column) -> Column:
+        chars, used_x, used_y = [], 0, 0
         for k in range(longest):
-            code = F.lit(0).cast("long")
-            for i in range(5 * k, 5 * k + 5):
-                code = code * 2 + F.shiftright(x if i % 2 == 0 else y, 29 - i // 2).bitwiseAND(F.lit(1))
-            chars.append(F.substring(F.lit(ALPHABET), (code + 1).cast("int"), F.lit(1)))
+            odd = k % 2 == 1
+            nx, ny = (2, 3) if odd else (3, 2)
+            used_x, used_y = used_x + nx, used_y + ny
+            x = F.shiftright(q["x"], 30 - used_x).bitwiseAND(F.lit(2**nx - 1))
+            y = F.shiftright(q["y"], 30 - used_y).bitwiseAND(F.lit(2**ny - 1))
+            chars.append(F.substring(F.lit(_letters(odd)), (x * 2**ny + y + 1).cast("int"), F.lit(1)))
         return F.concat(*chars)
 
-    # bound once: as plain expressions the grid numbers would be repeated for every bit, beyond what compiles
-    whole = F.transform(F.array(F.struct(qx.alias("x"), qy.alias("y"))), lambda q: cell(q["x"], q["y"]))[0]
+    # bound once: filters pushed below an aggregate would repeat the grid numbers for every character
+    whole = F.transform(F.array(F.struct(qx.alias("x"), qy.alias("y"))), cell)[0]
     return F.substring(whole, F.lit(1), precision if isinstance(precision, Column) else F.lit(precision))
 
 
-def geohash_box(cell: Column) -> Column:
-    """struct(min_lon, min_lat, max_lon, max_lat) of a geohash of up to 12 characters."""
-    codes = F.transform(F.split(cell, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    bits = F.filter(F.flatten(F.transform(codes, lambda c: F.transform(F.sequence(F.lit(4), F.lit(0), F.lit(-1)), lambda s: F.when(c >= 0, (F.floor(c / F.pow(F.lit(2), s)) % 2).cast("long"))))), lambda b: b.isNotNull())
+def geohash_box(cell: Column, longest: int = 12) -> Column:
+    """struct(min_lon, min_lat, max_lon, max_lat) of a geohash of up to ``longest`` characters.
+
+    Each side is a sum of exact binary fractions, one a character; characters that are missing add nothing.
+    """
+
+    names = (("min_lon", "max_lon"), ("min_lat", "max_lat"))
+
+    def box(d: Column) -> Column:
+        out = {}
+        for axis, (low, span) in enumerate(((-180.0, 360.0), (-90.0, 180.0))):
+            share, bits = F.lit(0.0), 0
+            for k in range(longest):
+                bits += 3 if k % 2 == axis else 2
+                digit = F.greatest(F.ascii(F.substring(d[f"d{axis}{k % 2}"], k + 1, 1)) - ord("0"), F.lit(0))
+                share = share + digit / F.lit(float(2**bits))
+            half = d["n"] * 5 / 2
+            width = F.pow(F.lit(2.0), -(F.floor(half) if axis else F.ceil(half)))
+            out[names[axis][0]], out[names[axis][1]] = F.lit(low) + share * span, F.lit(low) + (share + width) * span
+        return F.struct(*(out[c].alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")))
 
-    def side(parity: int, low: float, span: float) -> tuple[Column, Column]:
-        own = F.filter(bits, lambda b, i: i % 2 == parity)
-        value = F.aggregate(own, F.lit(0).cast("long"), lambda a, b: a * 2 + b)
-        cells = F.pow(F.lit(2.0), F.size(own))
-        return F.lit(low) + value * F.lit(span) / cells, F.lit(low) + (value + 1) * F.lit(span) / cells
+    def digits(c: Column) -> Column:
+        maps = {f"d{axis}{odd}": "".join(str(_spread(code, odd == 1)[axis]) for code in range(32)) for axis in (0, 1) for odd in (0, 1)}
+        return F.struct(F.length(c).alias("n"), *(F.translate(c, ALPHABET, m).alias(n) for n, m in maps.items()))
 
-    x, y = side(0, -180.0, 360.0), side(1, -90.0, 180.0)
-    return F.struct(x[0].alias("min_lon"), y[0].alias("min_lat"), x[1].alias("max_lon"), y[1].alias("max_lat"))
+    return F.transform(F.transform(F.array(cell), digits), box)[0]
 
 
 def mercator_x(lon: Column) -> Column:
