@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -75,3 +75,40 @@ def greedy_clusters(points: DataFrame, group: str, min_zoom: int = 0, max_zoom:
 
     kind = points.schema[group].dataType.simpleString()
     return projected(points).groupBy(group).applyInPandas(run, f"{group} {kind}, zoom int, index int, x double, y double, n bigint")
+
+
+def clusters_in(clusters: DataFrame, bbox: tuple[float, float, float, float], zoom: int) -> DataFrame:
+    """Clusters (zoom, x, y in the unit square) inside (west, south, east, north); a box may cross the antimeridian."""
+    west, south, east, north = bbox
+    lo, hi = max(-90.0, min(90.0, south)), max(-90.0, min(90.0, north))
+    a, b = (west + 180) % 360 - 180, 180.0 if east == 180 else (east + 180) % 360 - 180
+    if east - west >= 360:
+        a, b = -180.0, 180.0
+    spans = [(a, b)] if a <= b else [(a, 180.0), (-180.0, b)]
+    x, y = F.col("x"), F.col("y")
+    across = F.lit(False)
+    for left, right in spans:
+        across = across | x.between(left / 360 + 0.5, right / 360 + 0.5)
+    return clusters.filter((F.col("zoom") == zoom) & across & y.between(geo.mercator_y(F.lit(hi)), geo.mercator_y(F.lit(lo))))
+
+
+def map_tile(clusters: DataFrame, zoom: int, x: int, y: int, radius: float = 40, extent: int = 512) -> DataFrame:
+    """Clusters of a map tile and its margin in whole tile coordinates (tx, ty); margins wrap around the world."""
+    n, p = 2**zoom, radius / extent
+    level = clusters.filter((F.col("zoom") == zoom) & F.col("y").between((y - p) / n, (y + 1 + p) / n))
+    parts = [(level.filter(F.col("x").between((x - p) / n, (x + 1 + p) / n)), x)]
+    if x == 0:
+        parts.append((level.filter(F.col("x").between(1 - p / n, 1)), n))
+    if x == n - 1:
+        parts.append((level.filter(F.col("x").between(0, p / n)), -1))
+    out = None
+    for rows, at in parts:
+        part = rows.withColumns({"tx": F.floor(extent * (F.col("x") * n - at) + 0.5), "ty": F.floor(extent * (F.col("y") * n - y) + 0.5)})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def page(rows: DataFrame, keys: list[str], order: list[str], limit: int, offset: int = 0) -> DataFrame:
+    """Rows offset + 1 to offset + limit of each key."""
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_at", at).filter(F.col("_at").between(offset + 1, offset + limit)).drop("_at")

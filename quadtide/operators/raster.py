@@ -52,3 +52,65 @@ def offsets(objects: DataFrame) -> DataFrame:
     """Byte offset of every tile in its image's index file, tiles in index order."""
     order = Window.partitionBy("img").orderBy("rset", "y", "x", "size").rowsBetween(Window.unboundedPreceding, -1)
     return objects.withColumn("offset", F.coalesce(F.sum("size").over(order), F.lit(0).cast("long")))
+
+
+def summed_area(pixels: DataFrame) -> DataFrame:
+    """Sums over all pixels above and left, inclusive, within each tile."""
+    rows = Window.partitionBy("img", "tile", "py").orderBy("px").rowsBetween(Window.unboundedPreceding, 0)
+    cols = Window.partitionBy("img", "tile", "px").orderBy("py").rowsBetween(Window.unboundedPreceding, 0)
+    return pixels.withColumn("_row", F.sum("v").over(rows)).withColumn("area", F.sum("_row").over(cols)).drop("_row")
+
+
+def cut(pixels: DataFrame, size: int) -> DataFrame:
+    """Image pixels (img, x, y, v) to tile pixels; the last tiles are padded by whoever draws them."""
+    tile = lambda c: F.floor(F.col(c) / size)
+    return pixels.select("img", tile("x").alias("col"), tile("y").alias("row"), (F.col("x") % size).alias("px"), (F.col("y") % size).alias("py"), "v")
+
+
+def reduce_tiles(pixels: DataFrame, size: int) -> DataFrame:
+    """Four tiles (img, col, row, px, py, v) to their parent of the same size, by the mean of 2 x 2 pixels.
+
+    A child that is missing leaves its quarter without rows.
+    """
+    half = lambda c, p: F.floor((F.col(c) % 2 * size + F.col(p)) / 2)
+    keys = [F.floor(F.col("col") / 2).alias("col"), F.floor(F.col("row") / 2).alias("row"), half("col", "px").alias("px"), half("row", "py").alias("py")]
+    return pixels.groupBy("img", *keys).agg(F.avg("v").alias("v"))
+
+
+def merge_bands(pixels: DataFrame) -> DataFrame:
+    """Rows (img, tile, px, py, band, v) to r, g, b, a: three bands stand in reverse order, of fewer the first serves for all."""
+    by = pixels.groupBy("img", "tile", "px", "py").agg(*(F.max(F.when(F.col("band") == i, F.col("v"))).alias(f"b{i}") for i in range(3)))
+    full = F.col("b2").isNotNull()
+    pick = lambda i: F.when(full, F.col(f"b{i}")).otherwise(F.col("b0"))
+    return by.select("img", "tile", "px", "py", pick(2).alias("r"), pick(1).alias("g"), pick(0).alias("b"), F.lit(255).alias("a"))
+
+
+def sample(points: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Bilinear values at (img, tile, id, u, v): four corners by one equi-join, weights renormalised at the border."""
+    corners = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))
+    p = points.withColumn("c", F.explode(corners)).withColumns({"px": (F.floor("u") + F.col("c.i")).cast("int"), "py": (F.floor("v") + F.col("c.j")).cast("int")})
+    share = lambda at, k: F.when(F.col(k) == 1, F.col(at) - F.floor(at)).otherwise(1 - (F.col(at) - F.floor(at)))
+    weighted = p.withColumn("w", share("u", "c.i") * share("v", "c.j")).join(pixels.withColumnRenamed("v", "value"), ["img", "tile", "px", "py"])
+    return weighted.groupBy("img", "tile", "id").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+
+
+def finest(requests: DataFrame, stored: DataFrame, max_rset: int) -> DataFrame:
+    """For each tile (img, rset, x, y) the finest stored tile that covers it: itself or an ancestor; null if none is stored."""
+    up = F.explode(F.transform(F.sequence(F.col("rset"), F.lit(max_rset)), lambda r: F.struct(r.alias("r"), F.floor(F.col("x") / F.pow(F.lit(2), r - F.col("rset"))).alias("sx"), F.floor(F.col("y") / F.pow(F.lit(2), r - F.col("rset"))).alias("sy"))))
+    chain = requests.select("img", "rset", "x", "y").distinct().withColumn("s", up).select("img", "rset", "x", "y", "s.*")
+    have = stored.select("img", F.col("rset").alias("r"), F.col("x").cast("long").alias("sx"), F.col("y").cast("long").alias("sy")).distinct().withColumn("_have", F.lit(True))
+    best = F.min(F.when(F.col("_have"), F.col("r"))).alias("served")
+    return chain.join(have, ["img", "r", "sx", "sy"], "left").groupBy("img", "rset", "x", "y").agg(best)
+
+
+def block_offsets(blocks: DataFrame, start: int = 0) -> DataFrame:
+    """Where each block of (img, block, size, masked) is stored; masked ones take no room and have no offset."""
+    before = Window.partitionBy("img").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.when(F.col("masked"), 0).otherwise(F.col("size"))
+    at = F.coalesce(F.sum(room).over(before), F.lit(0)) + start
+    return blocks.withColumn("offset", F.when(~F.col("masked"), at))
+
+
+def valid_tile(data, size: int):
+    """The bytes of a tile, or as many noughts if it is missing or has another length."""
+    return F.when(F.length(data) == size, data).otherwise(F.lit(bytes(size)))

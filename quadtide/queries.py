@@ -8,22 +8,10 @@ from pyspark.sql import functions as F
 from .functions import geo, tiles, visibility
 from .operators import cluster, heatmap, priority, raster, warehouse
 from .plans import domain
-from .plans.domain import read, with_views
+from .plans.domain import read
+from .registry import ORACLES, QUERIES, query
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function as the query of its name, with its SQL over the domain views."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = with_views(sql)
-        return f
-
-    return register
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def _summaries(spark: SparkSession, d: str) -> DataFrame:
