@@ -26,7 +26,7 @@ def tile_scores(images: DataFrame, summaries: DataFrame, least: int = 1) -> Data
 
 def areas(summaries: DataFrame) -> DataFrame:
     """Cells that users asked for, as boxes with the count as importance."""
-    box = geo.geohash_box(F.col("location"))
+    box = F.explode(F.array(geo.geohash_box(F.col("location"))))  # a generator, so that joins do not repeat the decoding
     return summaries.filter("user <> 'global'").select("user", "location", box.alias("b"), F.col("requestCount").cast("float").alias("importance")).select("user", "location", "b.*", "importance")
 
 

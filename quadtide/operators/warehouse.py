@@ -34,8 +34,9 @@ def search_summaries(summaries: DataFrame, user: str | None = None, precision: i
     if precision is not None:
         out = out.filter(F.length("location") == precision)
     if bbox is not None:
-        box = geohash_box(F.col("location"))
-        out = out.filter(in_bbox(box["min_lon"], box["min_lat"], parse_bbox(bbox)))
+        # decoded in a generator: a plain filter would move below the aggregate and decode each cell's long expression per use
+        out = out.withColumn("_box", F.explode(F.array(geohash_box(F.col("location")))))
+        out = out.filter(in_bbox(F.col("_box.min_lon"), F.col("_box.min_lat"), parse_bbox(bbox))).drop("_box")
     return out if limit is None else out.orderBy("location", "user").limit(limit)
 
 
