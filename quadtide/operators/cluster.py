@@ -59,22 +59,25 @@ def greedy_level(rows: pd.DataFrame, radius: float) -> pd.DataFrame:
 def greedy_clusters(points: DataFrame, group: str, min_zoom: int = 0, max_zoom: int = 16, radius: float = 40, extent: int = 512) -> DataFrame:
     """The hierarchical greedy clustering of each group of points, in the order of ``id``.
 
-    The result depends on that order, so a group is one task; :func:`grid_clusters` serves groups of any size.
+    Rows carry the index of their parent one zoom out (-1 at the last) and the number of their first point; the points
+    stand one zoom beyond ``max_zoom`` with their id. The result depends on the order, so a group is one task; :func:`grid_clusters` serves groups of any size.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
         level = pd.DataFrame({"x": rows["mx"].to_numpy(), "y": rows["my"].to_numpy(), "n": 1})
-        out = []
+        out = [level.assign(zoom=max_zoom + 1, index=range(len(level)), parent=-1, id=rows["id"].to_numpy(), first=range(len(level)))]
         for zoom in range(max_zoom, min_zoom - 1, -1):
             level = greedy_level(level, radius / (extent * 2**zoom))
-            out.append(level.assign(zoom=zoom, index=range(len(level))))
-        result = pd.concat(out)
+            out[-1]["parent"] = level.attrs.pop("parent")
+            first = out[-1].groupby("parent")["first"].min().to_numpy()
+            out.append(level.assign(zoom=zoom, index=range(len(level)), parent=-1, id=None, first=first))
+        result = pd.concat([part.astype({"id": "Int64"}) for part in out])
         result[group] = rows[group].iloc[0]
-        return result[[group, "zoom", "index", "x", "y", "n"]]
+        return result[[group, "zoom", "index", "x", "y", "n", "parent", "id", "first"]]
 
     kind = points.schema[group].dataType.simpleString()
-    return projected(points).groupBy(group).applyInPandas(run, f"{group} {kind}, zoom int, index int, x double, y double, n bigint")
+    return projected(points).groupBy(group).applyInPandas(run, f"{group} {kind}, zoom int, index int, x double, y double, n bigint, parent int, id bigint, first int")
 
 
 def clusters_in(clusters: DataFrame, bbox: tuple[float, float, float, float], zoom: int) -> DataFrame:
@@ -112,3 +115,27 @@ def page(rows: DataFrame, keys: list[str], order: list[str], limit: int, offset:
     """Rows offset + 1 to offset + limit of each key."""
     at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("_at", at).filter(F.col("_at").between(offset + 1, offset + limit)).drop("_at")
+
+
+def children(clusters: DataFrame, group: str) -> DataFrame:
+    """(group, zoom, index) of every cluster with the index of each child one zoom in."""
+    below = clusters.filter("parent >= 0").select(group, (F.col("zoom") - 1).alias("zoom"), F.col("parent").alias("index"), F.col("index").alias("child"), F.col("n").alias("child_n"))
+    return clusters.select(group, "zoom", "index").join(below, [group, "zoom", "index"])
+
+
+def leaves(clusters: DataFrame, group: str, zoom: int, max_zoom: int) -> DataFrame:
+    """(group, index, id): every point with the cluster of the given zoom that holds it; one join a zoom."""
+    at = clusters.filter(F.col("zoom") == max_zoom + 1).select(group, "id", F.col("parent").alias("index"))
+    for z in range(max_zoom, zoom, -1):
+        up = clusters.filter(F.col("zoom") == z).select(group, "index", "parent")
+        at = at.join(up, [group, "index"]).select(group, "id", F.col("parent").alias("index"))
+    return at
+
+
+def expansion_zoom(clusters: DataFrame, group: str, max_zoom: int) -> DataFrame:
+    """(group, zoom, index, expands): the first zoom at which a cluster is more than one, ``max_zoom`` + 1 at most.
+
+    Clusters are nested, so those with the same first point and as many points hold the same ones.
+    """
+    same = Window.partitionBy(group, "first", "n")
+    return clusters.filter(F.col("zoom") <= max_zoom).select(group, "zoom", "index", (F.max("zoom").over(same) + 1).alias("expands"))

@@ -9,26 +9,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FEATURE = "type string, features array<struct<type: string, geometry: struct<type: string, coordinates: string>, properties: map<string, string>>>"
-
 
 def features(documents: DataFrame, column: str = "value") -> DataFrame:
-    """GeoJSON collections, one a row, to rows (kind, coordinates as JSON, properties)."""
-    parsed = documents.select(F.explode(F.from_json(column, _FEATURE)["features"]).alias("f"))
-    return parsed.select(F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
+    """GeoJSON collections, one a row, to rows (kind, coordinates as a variant, properties). Texts that do not parse give none."""
+    parsed = documents.select(F.explode(F.try_variant_get(F.try_parse_json(F.col(column)), "$.features", "array<variant>")).alias("f"))
+    part = lambda path, kind: F.try_variant_get("f", path, kind)
+    return parsed.select(part("$.geometry.type", "string").alias("kind"), part("$.geometry.coordinates", "variant").alias("coordinates"), part("$.properties", "map<string,string>").alias("properties"))
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """Point features of GeoJSON files: (lon, lat, properties); other kinds are left out."""
-    rows = features(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)).filter("kind = 'Point'")
-    at = F.from_json("coordinates", "array<double>")
+    rows = features(spark.read.text(path, wholetext=True, recursiveFileLookup=True)).filter("kind = 'Point'")
+    at = F.try_variant_get("coordinates", "$", "array<double>")
     return rows.select(at[0].alias("lon"), at[1].alias("lat"), "properties")
 
 
 def read_areas(spark: SparkSession, path: str) -> DataFrame:
     """Polygon features of GeoJSON files with the box of their outer ring: (ring, west, south, east, north, properties)."""
-    rows = features(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)).filter("kind = 'Polygon'")
-    ring = F.from_json("coordinates", "array<array<array<double>>>")[0]
+    rows = features(spark.read.text(path, wholetext=True, recursiveFileLookup=True)).filter("kind = 'Polygon'")
+    ring = F.try_variant_get("coordinates", "$", "array<array<array<double>>>")[0]
     axis = lambda i: F.transform("ring", lambda p: p[i])
     sides = (f(axis(i)).alias(n) for n, f, i in (("west", F.array_min, 0), ("south", F.array_min, 1), ("east", F.array_max, 0), ("north", F.array_max, 1)))
     return rows.select(ring.alias("ring"), "properties").select("ring", *sides, "properties")
@@ -37,7 +36,7 @@ def read_areas(spark: SparkSession, path: str) -> DataFrame:
 def tile_parts(spark: SparkSession, path: str) -> DataFrame:
     """Tile entries of XML product descriptions (elements TILE with FILENAME and the upper left offset)."""
     rows = spark.read.format("xml").option("rowTag", "TILE").schema("FILENAME string, ULCOLOFFSET long, ULROWOFFSET long").load(path)
-    part = lambda letter: F.regexp_extract("FILENAME", rf"_{letter}(\d+)", 1).try_cast("int")
+    part = lambda letter: F.regexp_extract("FILENAME", rf"[_\d]{letter}(\d+)", 1).try_cast("int")
     return rows.select(F.col("FILENAME").alias("file"), F.col("ULCOLOFFSET").alias("x"), F.col("ULROWOFFSET").alias("y"), part("R").alias("part_row"), part("C").alias("part_col"))
 
 

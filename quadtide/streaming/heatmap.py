@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import heatmap
 from ..operators.warehouse import upsert
-from ..sources.logs import LOG_SCHEMA, parse_log
+from ..sources.logs import parse_log
 
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -41,4 +41,20 @@ def upsert_batch(path_of, keys: list[str], order: str):
     return write
 
 
-__all__ = ["LOG_SCHEMA", "log_stream", "scored_images", "upsert_batch", "windowed_counts"]
+def once(requests: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """Requests without repeats of their keys within the watermark; state is dropped as the watermark passes."""
+    return requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+def visits(requests: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Sessions of users: requests no further apart than the gap."""
+    by = requests.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user")
+    return by.agg(F.count("*").alias("n")).select("user", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def unexpired(entries: DataFrame, now: int, ttl: int | None = None, tti: int | None = None) -> DataFrame:
+    """Cache entries (created, used in seconds) younger than ttl and used within tti."""
+    out = entries
+    if ttl is not None:
+        out = out.filter(F.col("created") > now - ttl)
+    return out if tti is None else out.filter(F.coalesce("used", "created") > now - tti)
