@@ -18,12 +18,21 @@ def all_tiles(images: DataFrame, virtual: bool = True) -> DataFrame:
 
 
 def tile_scores(images: DataFrame, summaries: DataFrame, least: int = 1) -> DataFrame:
-    """Tiles scored by the requests to their cell."""
-    cells = heatmap.located(heatmap.tile_boxes(all_tiles(images), images)).select("img", "rset", "x", "y", "location")
+    """Tiles scored by the requests to their cell. Tiles are listed only of images that touch a cell that was asked for."""
     wanted = summaries.filter("user = 'global'").groupBy("location").agg(F.sum("requestCount").alias("score"))
+    images = touching(images, wanted)
+    cells = heatmap.located(heatmap.tile_boxes(all_tiles(images), images)).select("img", "rset", "x", "y", "location")
     return cells.join(wanted, "location").filter(F.col("score") >= least).select("img", "rset", "x", "y", "score")
 
 
+def touching(images: DataFrame, cells: DataFrame, size: float = 1.0) -> DataFrame:
+    """Images that share a square of a fixed grid with a cell: all that the cells can hold a tile of, and few others."""
+    boxes = cells.select("location").distinct().select(F.explode(F.array(geo.geohash_box(F.col("location")))).alias("b")).select("b.*")
+    squares = boxes.select(grid_cells("min_lon", "min_lat", "max_lon", "max_lat", size).alias("cell")).distinct()
+    near = footprints(images).select("img", grid_cells("img_min_lon", "img_min_lat", "img_max_lon", "img_max_lat", size).alias("cell"))
+    return images.join(near.join(squares, "cell", "left_semi").select("img").distinct(), "img", "left_semi")
+
+
 def areas(summaries: DataFrame) -> DataFrame:
     """Cells that users asked for, as boxes with the count as importance."""
     box = F.explode(F.array(geo.geohash_box(F.col("location"))))  # a generator, so that joins do not repeat the decoding

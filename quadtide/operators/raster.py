@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -94,6 +94,61 @@ def sample(points: DataFrame, pixels: DataFrame) -> DataFrame:
     return weighted.groupBy("img", "tile", "id").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
 
 
+def _triangle(f: Column) -> Column:
+    return 1 - F.abs(f) / 2
+
+
+def _catmull(f: Column) -> Column:
+    f = F.abs(f)
+    near, far = ((1.5 * f - 2.5) * f) * f + 1, ((-0.5 * f + 2.5) * f - 4) * f + 2
+    return F.when(f < 1, near).when(f < 2, far).otherwise(F.lit(0.0))
+
+
+KERNELS = {"bicubic": _triangle, "catmull": _catmull}
+
+
+def resample(points: DataFrame, pixels: DataFrame, mode: str) -> DataFrame:
+    """Values at (img, tile, id, u, v) by mode: nearest, linear, bicubic (triangle weights over 4 x 4 pixels) or catmull.
+
+    Weights are renormalised over the pixels that exist; a point none of whose pixels exists gives no row.
+    """
+    if mode == "linear":
+        return sample(points, pixels)
+    if mode == "nearest":
+        at = points.withColumns({"px": F.floor(F.col("u") + 0.5).cast("int"), "py": F.floor(F.col("v") + 0.5).cast("int")}).drop("u", "v")
+        return at.join(pixels.withColumnRenamed("v", "value"), ["img", "tile", "px", "py"]).select("img", "tile", "id", F.col("value").cast("double").alias("value"))
+    kernel = KERNELS[mode]
+    taps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-1, 3) for j in range(-1, 3)))
+    p = points.withColumn("c", F.explode(taps)).withColumns({"px": (F.floor("u") + F.col("c.i")).cast("int"), "py": (F.floor("v") + F.col("c.j")).cast("int")})
+    share = lambda at, k: kernel(F.col(k) - (F.col(at) - F.floor(at)))
+    weighted = p.withColumn("w", share("u", "c.i") * share("v", "c.j")).join(pixels.withColumnRenamed("v", "value"), ["img", "tile", "px", "py"])
+    total = F.nullif(F.round(F.sum("w"), 12), F.lit(0.0))
+    return weighted.groupBy("img", "tile", "id").agg((F.sum(F.col("w") * F.col("value")) / total).alias("value"))
+
+
+def mosaic(views: DataFrame, layers: DataFrame, cols: int, rows: int, size: float = 5.0) -> DataFrame:
+    """Which layer each cell of a view shows: (view, i, j, img), the lowest z whose box holds the cell's middle.
+
+    Views are (view, min_lon, min_lat, max_lon, max_lat), layers (img, z, img_min_lon, ...). Views and layers meet by a
+    grid join; a layer gives rows only for the cells it covers, and the least z is a plain aggregate. Cells that no layer
+    covers give no row; rows run from the south.
+    """
+    from .priority import spatial_join
+
+    met = spatial_join(views, layers, size)
+
+    def span(low: str, high: str, view_low: str, view_high: str, n: int) -> tuple[Column, Column]:
+        step = (F.col(view_high) - F.col(view_low)) / n
+        at = lambda c: F.ceil((F.col(c) - F.col(view_low)) / step - 0.5).cast("int")
+        return F.greatest(F.lit(0), at(low)), F.least(F.lit(n), at(high)) - 1
+
+    i0, i1 = span("img_min_lon", "img_max_lon", "min_lon", "max_lon", cols)
+    j0, j1 = span("img_min_lat", "img_max_lat", "min_lat", "max_lat", rows)
+    held = met.select("view", "img", "z", i0.alias("i0"), i1.alias("i1"), j0.alias("j0"), j1.alias("j1")).filter("i0 <= i1 AND j0 <= j1")
+    cells = held.withColumn("i", F.explode(F.sequence("i0", "i1"))).withColumn("j", F.explode(F.sequence("j0", "j1")))
+    return cells.groupBy("view", "i", "j").agg(F.min(F.struct("z", "img")).alias("top")).select("view", "i", "j", F.col("top.img").alias("img"))
+
+
 def finest(requests: DataFrame, stored: DataFrame, max_rset: int) -> DataFrame:
     """For each tile (img, rset, x, y) the finest stored tile that covers it: itself or an ancestor; null if none is stored."""
     up = F.explode(F.transform(F.sequence(F.col("rset"), F.lit(max_rset)), lambda r: F.struct(r.alias("r"), F.floor(F.col("x") / F.pow(F.lit(2), r - F.col("rset"))).alias("sx"), F.floor(F.col("y") / F.pow(F.lit(2), r - F.col("rset"))).alias("sy"))))

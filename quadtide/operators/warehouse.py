@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import polygon
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The latest row of each key; of equally late ones that of ``new``. Write it to another path than ``old``'s."""
@@ -49,10 +51,10 @@ def without_recent(users: DataFrame, lists: DataFrame, since: int) -> DataFrame:
     return users.join(lists.filter(F.col("date") >= since), "user", "left_anti")
 
 
-def catalog_search(images: DataFrame, start: int | None = None, end: int | None = None, bbox: str | None = None, limit: int | None = 1000) -> DataFrame:
-    """Images by collection time and box; at least one parameter must be given."""
-    if start is None and end is None and bbox is None:
-        raise ValueError("give a start, an end or a box")
+def catalog_search(images: DataFrame, start: int | None = None, end: int | None = None, bbox: str | None = None, limit: int | None = 1000, wkt: str | None = None) -> DataFrame:
+    """Images by collection time, box and polygon (the footprint shares a point with it); at least one parameter must be given."""
+    if start is None and end is None and bbox is None and wkt is None:
+        raise ValueError("give a start, an end, a box or a polygon")
     out = images
     if start is not None:
         out = out.filter(F.col("collected") >= start)
@@ -61,4 +63,11 @@ def catalog_search(images: DataFrame, start: int | None = None, end: int | None
     if bbox is not None:
         left, bottom, right, top = parse_bbox(bbox)
         out = out.filter((F.col("max_lon") >= left) & (F.col("min_lon") <= right) & (F.col("max_lat") >= bottom) & (F.col("min_lat") <= top))
+    if wkt is not None:
+        points = [tuple(map(float, p.split()[:2])) for p in wkt[wkt.rindex("(") + 1 : wkt.index(")")].split(",")] if wkt.strip().upper().startswith("POLYGON") else []
+        if len(points) < 3:
+            raise ValueError("the area is a polygon: POLYGON ((x y, x y, x y))")
+        for low, high, values in (("min_lon", "max_lon", [p[0] for p in points]), ("min_lat", "max_lat", [p[1] for p in points])):
+            out = out.filter((F.col(high) >= min(values)) & (F.col(low) <= max(values)))
+        out = out.filter(polygon.intersects(polygon.ring_of_wkt(F.lit(wkt)), polygon.ring_of_box(*map(F.col, ("min_lon", "min_lat", "max_lon", "max_lat")))))
     return out if limit is None else out.orderBy("img").limit(limit)

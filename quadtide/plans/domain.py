@@ -23,7 +23,7 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey")
-    return read(spark, sf_dir, "part").filter("p_partkey < 20").select(
+    return read(spark, sf_dir, "part").select(
         p.alias("img"), ((p * 37) % 340 - 170).cast("double").alias("lon0"), ((p * 17) % 120 - 60).cast("double").alias("lat0"), F.lit(8192).alias("width"), F.lit(8192).alias("height"), F.lit(4).alias("max_rset"), (F.col("p_size").cast("long") * DAY_MS).alias("collected")
     )
 
@@ -71,7 +71,7 @@ def precision_sql(km: str) -> str:
 SQL = f"""
 access_log AS (SELECT img, usr, rset, (event_id * 7 + user_id) % (2 ** (4 - rset))::BIGINT AS x, (event_id * 11 + user_id) % (2 ** (4 - rset))::BIGINT AS y, ts, event_id FROM (
     SELECT *, event_id % 20 AS img, (event_id % 5)::INT AS rset, CASE WHEN event_type = 'view' THEN NULL WHEN user_id % 13 = 0 THEN 'admin' ELSE 'u' || (user_id % 50) END AS usr FROM events)),
-images AS (SELECT p_partkey AS img, ((p_partkey * 37) % 340 - 170)::DOUBLE AS lon0, ((p_partkey * 17) % 120 - 60)::DOUBLE AS lat0, 8192 AS width, 8192 AS height, 4 AS max_rset, p_size::BIGINT * {DAY_MS} AS collected FROM part WHERE p_partkey < 20),
+images AS (SELECT p_partkey AS img, ((p_partkey * 37) % 340 - 170)::DOUBLE AS lon0, ((p_partkey * 17) % 120 - 60)::DOUBLE AS lat0, 8192 AS width, 8192 AS height, 4 AS max_rset, p_size::BIGINT * {DAY_MS} AS collected FROM part),
 points AS (SELECT c_custkey AS id, ((c_custkey * 7919) % 360 - 180)::DOUBLE AS lon, ((c_custkey * 104729) % 160 - 80)::DOUBLE AS lat FROM customer),
 pixels AS (SELECT vec_id AS tile, label AS img, ((i - 1) % 8)::INT AS px, ((i - 1) // 8)::INT AS py, greatest(0, least(255, floor((2 * embedding[i]::DOUBLE + 1) * 127.5)))::INT AS v FROM embeddings, range(1, 65) AS t(i)),
 objects AS (SELECT l_orderkey % 100 AS img, (l_linenumber % 5)::INT AS rset, l_orderkey AS x, l_linenumber::BIGINT AS y, (l_quantity::DOUBLE * 100)::BIGINT AS size FROM lineitem),

@@ -138,9 +138,9 @@ def o1_tile_order(spark, d):
     return domain.tile_objects(spark, d).orderBy("img", "rset", "y", "x", "size").limit(100)
 
 
-@query("SELECT DISTINCT usr AS \"user\" FROM summaries WHERE usr <> 'global' AND usr NOT IN (SELECT 'u' || (c_custkey % 50) FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 60)")
+@query("SELECT DISTINCT usr AS \"user\" FROM summaries WHERE usr <> 'global' AND usr NOT IN (SELECT 'u' || (c_custkey % 33) FROM customer)")
 def j6_unseen_users(spark, d):
-    users = read(spark, d, "customer").filter("c_custkey % 3 = 0 AND c_custkey < 60").select(F.concat(F.lit("u"), (F.col("c_custkey") % 50).cast("string")).alias("user"))
+    users = read(spark, d, "customer").select(F.concat(F.lit("u"), (F.col("c_custkey") % 33).cast("string")).alias("user"))
     return warehouse.unseen_users(_summaries(spark, d), users)
 
 
@@ -267,16 +267,16 @@ def a14_greedy_clusters(spark, d):
     return cluster.greedy_clusters(domain.points(spark, d).withColumn("layer", F.lit(0)), "layer")
 
 
-@query("SELECT a.id, b.id AS other, round(sqrt((a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2), 6) AS distance FROM points a JOIN points b ON a.id % 10 = 0 AND (a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2 <= 25")
+@query("SELECT a.id, b.id AS other, round(sqrt((a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2), 6) AS distance FROM points a JOIN points b ON (a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2 <= 25")
 def j9_points_within(spark, d):
     p = domain.points(spark, d).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return cluster.within(p.filter("id % 10 = 0"), p, 5.0).withColumn("distance", F.round("distance", 6))
+    return cluster.within(p, p, 5.0).withColumn("distance", F.round("distance", 6))
 
 
-@query("SELECT id, other FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY (a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2, b.id) AS r FROM points a JOIN points b ON a.id % 10 = 0 AND b.id % 10 <> 0 AND (a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2 <= 400) WHERE r = 1")
+@query("SELECT id, other FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY (a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2, b.id) AS r FROM points a JOIN points b ON a.id <> b.id AND (a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2 <= 400) WHERE r = 1")
 def j16_nearest_point(spark, d):
     p = domain.points(spark, d).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    near = cluster.within(p.filter("id % 10 = 0"), p.filter("id % 10 <> 0"), 20.0)
+    near = cluster.within(p, p, 20.0).filter("id <> other")
     return near.groupBy("id").agg(F.min(F.struct("distance", "other"))["other"].alias("other"))
 
 
@@ -310,8 +310,8 @@ def e2_ranks(spark, d):
     return n.withColumns({"r": F.rank().over(w), "dr": F.dense_rank().over(w), "before": F.lag("n").over(Window.partitionBy("img").orderBy(F.desc("n"), "user"))})
 
 
-@query("SELECT i.img, count(l.event_id) AS n FROM (SELECT img FROM images UNION ALL SELECT 99) i FULL JOIN (SELECT * FROM access_log WHERE rset = 0) l USING (img) GROUP BY i.img")
+@query("SELECT i.img, count(l.event_id) AS n FROM (SELECT img FROM images UNION ALL SELECT -1) i FULL JOIN access_log l USING (img) GROUP BY i.img")
 def e3_outer_join(spark, d):
-    images = domain.images(spark, d).select("img").unionAll(spark.sql("SELECT CAST(99 AS BIGINT) AS img"))
-    log = domain.access_log(spark, d).filter("rset = 0").select(F.col("img").alias("i"), "event_id")
+    images = domain.images(spark, d).select("img").unionAll(spark.sql("SELECT CAST(-1 AS BIGINT) AS img"))
+    log = domain.access_log(spark, d).select(F.col("img").alias("i"), "event_id")
     return images.join(log, F.col("img") == F.col("i"), "full").groupBy("img").agg(F.count("event_id").alias("n"))

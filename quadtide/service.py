@@ -91,8 +91,8 @@ class Warehouse:
         """Users without a prefetch list of the last period."""
         return warehouse.without_recent(self.users(), self.table("cache_lists"), now - period)
 
-    def catalog_search(self, start: int | None = None, end: int | None = None, bbox: str | None = None) -> DataFrame:
-        return warehouse.catalog_search(self.table("images"), start, end, bbox)
+    def catalog_search(self, start: int | None = None, end: int | None = None, bbox: str | None = None, wkt: str | None = None) -> DataFrame:
+        return warehouse.catalog_search(self.table("images"), start, end, bbox, wkt=wkt)
 
     def catalog_get(self, name: str) -> DataFrame:
         return self.table("images").filter(F.col("name") == name)

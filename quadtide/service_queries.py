@@ -162,8 +162,8 @@ def w9_layer_order(spark, d):
     return domain.access_log(spark, d).select("img", "event_id", z.alias("z"), F.lag("ts", 2).over(w).alias("before"))
 
 
-@query("SELECT c_custkey AS k, coalesce(a.v, b.v, 'miss') AS v FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS c_custkey, 'near' AS v FROM orders WHERE o_orderkey % 8 = 0) a USING (c_custkey) LEFT JOIN (SELECT DISTINCT o_custkey AS c_custkey, 'far' AS v FROM orders WHERE o_orderkey % 2 = 0) b USING (c_custkey)")
+@query("SELECT c_custkey AS k, coalesce(a.v, b.v, 'miss') AS v FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS c_custkey, 'near' AS v FROM orders WHERE o_orderstatus = 'P') a USING (c_custkey) LEFT JOIN (SELECT DISTINCT o_custkey AS c_custkey, 'far' AS v FROM orders WHERE o_orderstatus = 'F') b USING (c_custkey)")
 def x8_tiered_lookup(spark, d):
-    tier = lambda n, name: read(spark, d, "orders").filter(F.col("o_orderkey") % n == 0).select(F.col("o_custkey").alias("k")).distinct().withColumn(name, F.lit(name))
+    tier = lambda status, name: read(spark, d, "orders").filter(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("k")).distinct().withColumn(name, F.lit(name))
     asked = read(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    return asked.join(tier(8, "near"), "k", "left").join(tier(2, "far"), "k", "left").select("k", F.coalesce("near", "far", F.lit("miss")).alias("v"))
+    return asked.join(tier("P", "near"), "k", "left").join(tier("F", "far"), "k", "left").select("k", F.coalesce("near", "far", F.lit("miss")).alias("v"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import keys
+from ..functions import keys, layout
 
 #: Records that one request to the warehouse may carry.
 RECORDS_PER_REQUEST = 10_000_000 // 256
@@ -43,9 +43,14 @@ def placemarks(boxes: DataFrame, group: str, name: str) -> DataFrame:
     return rows.select(group, name, "altitude", ring.alias("coordinates"))
 
 
+def _escaped(text: Column) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text
+
+
 def placemark_xml(name: Column, coordinates: Column) -> Column:
-    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    parts = ("<Placemark><name>", escape(name.cast("string")), "</name><Polygon><altitudeMode>relativeToGround</altitudeMode><outerBoundaryIs><LinearRing><coordinates>", coordinates, "</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>")
+    parts = ("<Placemark><name>", _escaped(name.cast("string")), "</name><Polygon><altitudeMode>relativeToGround</altitudeMode><outerBoundaryIs><LinearRing><coordinates>", coordinates, "</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>")
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
@@ -60,3 +65,24 @@ def index_xml(width: Column, height: Column, bands: Column, tile: int = 512) ->
     return F.format_string(
         f'<MRF_META><Raster><Size x="%d" y="%d" c="%d" /><PageSize x="{tile}" y="{tile}" c="1" /><Compression>PNG</Compression></Raster><Rsets model="uniform" scale="2" /></MRF_META>', width, height, bands
     )
+
+
+def tile_capabilities(image: Column, stamp: Column, box: tuple[Column, Column, Column, Column], width: Column, height: Column, levels: Column, tile: int = 512) -> Column:
+    """What a tile service offers of an image (WMTS 1.0.0): its box and the matrix of each level, axes as in ``matrix_sizes(swapped=True)``."""
+    number = lambda c: c.cast("string")
+    one = lambda m: F.concat(
+        F.lit("<TileMatrix><ows:Identifier>"), number(m["level"]), F.lit("</ows:Identifier><ScaleDenominator>"), number(m["scale"]),
+        F.lit(f"</ScaleDenominator><TileWidth>{tile}</TileWidth><TileHeight>{tile}</TileHeight><MatrixWidth>"), number(m["cols"]),
+        F.lit("</MatrixWidth><MatrixHeight>"), number(m["rows"]), F.lit("</MatrixHeight></TileMatrix>"),
+    )
+    matrices = F.array_join(F.transform(layout.matrix_sizes(width, height, levels, tile, swapped=True), one), "")
+    west, south, east, north = box
+    parts = (
+        '<Capabilities xmlns="http://www.opengis.net/wmts/1.0" xmlns:ows="http://www.opengis.net/ows/1.1" version="1.0.0"><Contents><Layer>',
+        '<ows:WGS84BoundingBox crs="EPSG:4326"><ows:LowerCorner>', F.concat_ws(" ", number(west), number(south)), "</ows:LowerCorner><ows:UpperCorner>",
+        F.concat_ws(" ", number(east), number(north)), "</ows:UpperCorner></ows:WGS84BoundingBox><ows:Identifier>", _escaped(image),
+        '</ows:Identifier><Style isDefault="true"><ows:Identifier>tile</ows:Identifier></Style><Format>image/png</Format><TileMatrixSetLink><TileMatrixSet>',
+        _escaped(stamp), "</TileMatrixSet></TileMatrixSetLink></Layer><TileMatrixSet><ows:Identifier>", _escaped(stamp),
+        "</ows:Identifier><ows:SupportedCRS>CRS:1</ows:SupportedCRS>", matrices, "</TileMatrixSet></Contents></Capabilities>",
+    )
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))

@@ -45,6 +45,26 @@ def listing(spark: SparkSession, prefix: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(prefix).select("path", "length")
 
 
+def tile_path(root: str, image: str, stamp: str, rset: int, x: int, y: int, band: int = 0) -> str:
+    return f"{root.rstrip('/')}/{image}/{stamp}/{rset}/{x}/{y}/{band}.png"
+
+
+def read_tile(spark: SparkSession, root: str, *address) -> bytes | None:
+    """The bytes of one stored tile by its address (as in :func:`tile_path`); None if it is not stored."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(tile_path(root, *address))
+    if not file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+        return None
+    return bytes(spark.read.format("binaryFile").load(str(file)).first().content)
+
+
+def read_tiles(spark: SparkSession, root: str) -> DataFrame:
+    """All tiles under a root: (image, stamp, rset, x, y, band, length, content); columns not asked for are not read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    part = lambda i: F.regexp_extract("path", r"/([^/]+)/([^/]+)/(\d+)/(\d+)/(\d+)/(-?\d+)\.png$", i)
+    numbers = (part(i).try_cast("int").alias(n) for i, n in enumerate(("rset", "x", "y", "band"), 3))
+    return rows.filter(part(1) != "").select(part(1).alias("image"), part(2).alias("stamp"), *numbers, "length", "content")
+
+
 def access_lines(spark: SparkSession, n: int, images: DataFrame, seed: int = 1) -> DataFrame:
     """Synthetic log rows: n requests to tiles of (img, width, height, max_rset), each with its eight neighbours and all ancestors."""
     count = images.count()

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadtide import service
-from quadtide.functions import camera, keys, layout
-from quadtide.operators import cluster, controls, raster, warp
+from quadtide.functions import camera, frame, keys, layout, polygon
+from quadtide.operators import cluster, controls, raster, warehouse, warp
 from quadtide.sinks import documents
 from quadtide.sources import files
+from quadtide.sources import tiff as tiff_files
 from quadtide.streaming import heatmap as streams
 
 
@@ -180,3 +181,140 @@ def test_visits_and_expiry(spark):
     assert sorted(r.n for r in streams.visits(rows).collect()) == [1, 2]
     entries = spark.createDataFrame([(1, 0, 90), (2, 95, None), (3, 0, 10)], "k int, created int, used int")
     assert [r.k for r in streams.unexpired(entries, 100, tti=20).orderBy("k").collect()] == [1, 2] and streams.unexpired(entries, 100, ttl=50).count() == 1
+
+
+def ring(*points):
+    return F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points))
+
+
+def test_rings(spark):
+    notch = ring((0, 0), (10, 0), (10, 10), (5, 2), (0, 10))
+    box = lambda *s: polygon.ring_of_box(*map(F.lit, s))
+    meets = [polygon.intersects(notch, box(*b)) for b in ((4, 8, 6, 9), (4, 1, 6, 3), (10, 10, 11, 11), (1, 1, 2, 2), (-5, -5, 20, 20), (11, 0, 12, 1))]
+    assert list(one(spark, *meets)) == [False, True, True, True, True, False]
+    assert list(one(spark, *(polygon.contains(notch, F.lit(x), F.lit(y)) for x, y in ((5, 1), (5, 5), (1, 5), (-1, 5))))) == [True, False, True, False]
+    assert one(spark, polygon.ring_of_wkt(F.lit("POLYGON ((1 2, 3 4, 5 6, 1 2), (9 9, 8 8, 7 7))")))[0][:2] == [(1.0, 2.0), (3.0, 4.0)]
+    assert list(one(spark, *(polygon.ring_of_wkt(F.lit(t).cast("string")) for t in ("POINT (1 2)", "POLYGON ((a b))", "", None)))) == [None] * 4
+
+
+def test_clip_against_counting(spark):
+    """The clipped area is the share of a fine grid of points inside both rings."""
+    rng = np.random.default_rng(5)
+    turns = np.sort(rng.uniform(0, 2 * np.pi, 7))
+    outer = ring(*zip(10 * np.cos(turns), 7 * np.sin(turns)))
+    for window, reach in ((ring((-4, -5), (6, -3), (1, 6)), 12), (ring((1, 6), (6, -3), (-4, -5), (1, 6)), 12)):
+        area, empty = one(spark, polygon.signed_area(polygon.clip(outer, window)), polygon.clip(outer, ring((50, 50), (60, 50), (55, 60))))
+        grid = spark.range(240 * 240).select(((F.col("id") % 240 + 0.5) / 10 - reach).alias("x"), ((F.floor(F.col("id") / 240) + 0.5) / 10 - reach).alias("y"))
+        inside = grid.filter(polygon.contains(outer, F.col("x"), F.col("y")) & polygon.contains(window, F.col("x"), F.col("y"))).count()
+        assert abs(area - inside / 100) < 0.5 and empty == []
+
+
+def test_catalogue_by_polygon(spark):
+    images = spark.createDataFrame([(1, 0, 0.0, 0.0, 1.0, 1.0), (2, 0, 4.0, 7.0, 6.0, 9.0), (3, 0, 40.0, 0.0, 41.0, 1.0)], "img long, collected long, min_lon double, min_lat double, max_lon double, max_lat double")
+    found = warehouse.catalog_search(images, wkt="POLYGON ((0 0, 10 0, 10 10, 5 2, 0 10, 0 0))")
+    assert [r.img for r in found.collect()] == [1]
+    for bad in ("POINT (1 2)", "POLYGON ((0 0, 1 1))"):
+        with pytest.raises(ValueError):
+            warehouse.catalog_search(images, wkt=bad)
+
+
+def test_local_frame_round_trip(spark):
+    at = tuple(map(F.lit, (12.0, 50.0, 100.0)))
+    there = frame.to_local(at, F.lit(12.01), F.lit(49.99), F.lit(130.0))
+    row = one(spark, *there, *frame.from_local(at, *there))
+    assert 700 < row[0] < 730 and -1120 < row[1] < -1105 and row[2] == 30
+    assert list(row)[3:] == pytest.approx([12.01, 49.99, 130.0], abs=1e-9)
+
+
+def test_view_round_trip(spark):
+    view = frame.View(F.lit(1000.0), F.lit(2000.0), F.lit(3.0), F.lit(640), F.lit(480), F.lit(0.3))
+    spots = [(0, 0), (320, 240), (639, 479), (17, 333)]
+    back = [v for x, y in spots for v in view.geodetic_to_screen(*view.screen_to_geodetic(F.lit(x), F.lit(y)))]
+    centre = view.clip_to_projected(*view.screen_to_clip(F.lit(320), F.lit(240)))
+    row = list(one(spark, *back, *centre))
+    assert row[:8] == [v for s in spots for v in s] and row[8:] == [1000.0, 2000.0]
+
+
+def test_cameras_from_metadata(spark):
+    scalars = {f"{n}_{k}": float(i + 1) for i, (n, k) in enumerate((n, k) for n in ("LONG", "LAT", "HEIGHT", "SAMP", "LINE") for k in ("OFF", "SCALE"))}
+    tags = {k: str(v) for k, v in scalars.items()} | {f"{n}_COEFF_{i + 1}": str(i) for n in ("LINE_NUM", "LINE_DEN", "SAMP_NUM", "SAMP_DEN") for i in range(20)}
+    cases = [
+        (1, {"RPC00B": tags}), (2, {"RPC00A": tags, "RPC00B": {}}), (3, {"RPC00B": tags, "ICHIPB": {"SCALE_FACTOR": "2", "FI_ROW_11": "4", "FI_COL_11": "3"}}),
+        (4, {"RPC00B": tags, "STDIDC": {"START_ROW": "2", "START_COLUMN": "3"}, "": {"IMAGE_TILE_WIDTH": "100", "IMAGE_TILE_HEIGHT": "50"}}),
+        (5, {"RPC00B": {k: v for k, v in tags.items() if k != "LINE_DEN_COEFF_20"}}), (6, {}), (7, None),
+    ]
+    rows = spark.createDataFrame(cases, "k int, m map<string, map<string, string>>").select("k", camera.from_metadata(F.col("m")).alias("c")).orderBy("k").collect()
+    got = [r.c for r in rows]
+    assert {k: got[0][k] for k in scalars} == scalars and got[0].LINE_NUM == list(range(20))
+    assert got[1].SAMP_DEN == list(camera.RPC00A_PLACES) and sorted(camera.RPC00A_PLACES) == list(range(20))
+    assert (got[2].LINE_OFF, got[2].LINE_SCALE, got[2].SAMP_OFF, got[2].SAMP_SCALE) == (10.0, 20.0, 8.0, 16.0)
+    assert (got[3].LINE_OFF, got[3].LINE_SCALE, got[3].SAMP_OFF) == (9.0 - 50, 10.0, 7.0 - 200)
+    assert got[4:] == [None] * 3
+
+
+def test_resampling_modes(spark):
+    """A plane is kept by the cubic inside the tile; nearest takes the pixel; far points give no row."""
+    pixels = spark.range(64).select(F.lit(1).alias("img"), F.lit(1).alias("tile"), (F.col("id") % 8).cast("int").alias("px"), F.floor(F.col("id") / 8).cast("int").alias("py"))
+    pixels = pixels.withColumn("v", 3 * F.col("px") + 5 * F.col("py"))
+    points = spark.createDataFrame([(1, 1, 0, 3.25, 4.75), (1, 1, 1, 2.5, 2.0), (1, 1, 2, 90.0, 90.0)], "img int, tile int, id int, u double, v double")
+    got = lambda mode: {r.id: r.value for r in raster.resample(points, pixels, mode).collect()}
+    assert got("catmull") == pytest.approx({0: 33.5, 1: 17.5}) and got("linear") == pytest.approx({0: 33.5, 1: 17.5})
+    assert got("nearest") == {0: 34.0, 1: 19.0}
+    assert set(got("bicubic")) == {0, 1}
+
+
+def test_mosaic_takes_the_lowest(spark):
+    views = spark.createDataFrame([(1, 0.0, 0.0, 4.0, 4.0), (2, 50.0, 50.0, 54.0, 54.0)], "view int, min_lon double, min_lat double, max_lon double, max_lat double")
+    layers = spark.createDataFrame([(7, 1, -1.0, -1.0, 2.0, 9.0), (8, 0, 1.0, 0.0, 3.0, 2.0), (9, 2, 0.0, 0.0, 0.4, 0.4)], "img int, z int, img_min_lon double, img_min_lat double, img_max_lon double, img_max_lat double")
+    got = {(r.view, r.i, r.j): r.img for r in raster.mosaic(views, layers, 4, 4).collect()}
+    assert got == {(1, i, j): 8 if i in (1, 2) and j < 2 else 7 for i in range(4) for j in range(4) if i < 2 or i == 2 and j < 2}
+
+
+def test_capabilities_are_xml(spark):
+    import xml.etree.ElementTree as ET
+
+    xml = one(spark, documents.tile_capabilities(F.lit('a&b<"'), F.lit("t"), tuple(map(F.lit, (1, 2, 3, 4))), F.lit(1000), F.lit(3000), F.lit(2)))[0]
+    root = ET.fromstring(xml)
+    ns = {"w": "http://www.opengis.net/wmts/1.0", "o": "http://www.opengis.net/ows/1.1"}
+    assert root.find("w:Contents/w:Layer/o:Identifier", ns).text == 'a&b<"'
+    assert [(m.find("w:MatrixWidth", ns).text, m.find("w:MatrixHeight", ns).text) for m in root.findall("w:Contents/w:TileMatrixSet/w:TileMatrix", ns)] == [("6", "2"), ("3", "1"), ("2", "1")]
+
+
+def test_tile_store(spark, tmp_path):
+    file = tmp_path / "c" / "20200101" / "0" / "1" / "2" / "0.png"
+    file.parent.mkdir(parents=True)
+    file.write_bytes(b"tile")
+    (tmp_path / "c" / "metadata.json").write_text("{}")
+    assert files.read_tile(spark, str(tmp_path), "c", "20200101", 0, 1, 2) == b"tile" and files.read_tile(spark, str(tmp_path), "c", "20200101", 0, 1, 3) is None
+    assert [tuple(r) for r in files.read_tiles(spark, str(tmp_path)).collect()] == [("c", "20200101", 0, 1, 2, 0, 4, b"tile")]
+
+
+def tiff(order, image, planar=1, rows_per_strip=2):
+    """A strip image (rows, columns, bands) of 16 bits as a classic file."""
+    import struct
+
+    height, width, bands = image.shape
+    planes = [image[:, :, b : b + 1] for b in range(bands)] if planar == 2 else [image]
+    strips = [p[r : r + rows_per_strip].astype(order + "u2").tobytes() for p in planes for r in range(0, height, rows_per_strip)]
+    at = 8 + np.cumsum([0, *map(len, strips)])
+    extra, fields, tail = b"", [], int(at[-1])
+    for tag, kind, values in ((256, 3, [width]), (257, 3, [height]), (258, 3, [16] * bands), (259, 3, [1]), (273, 4, at[:-1].tolist()), (277, 3, [bands]), (278, 3, [rows_per_strip]), (282, 5, [3, 2]), (284, 3, [planar]), (305, 2, b"made\0")):
+        raw = values if kind == 2 else struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        count = len(values) // (2 if kind == 5 else 1)
+        if len(raw) > 4:
+            raw, extra = struct.pack(order + "I", tail + len(extra)), extra + raw
+        fields.append(struct.pack(order + "HHI", tag, kind, count) + raw.ljust(4, b"\0"))
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", tail + len(extra))
+    return head + b"".join(strips) + extra + struct.pack(order + "H", len(fields)) + b"".join(fields) + struct.pack(order + "I", 0)
+
+
+def test_tiff(spark, tmp_path):
+    image = np.random.default_rng(1).integers(0, 65536, (5, 4, 3))
+    (tmp_path / "a.tif").write_bytes(tiff("<", image))
+    (tmp_path / "b.tif").write_bytes(tiff(">", image, planar=2, rows_per_strip=3))
+    (tmp_path / "c.tif").write_bytes(b"II*\0\xff\xff\0\0")
+    (tmp_path / "d.tif").write_bytes(b"")
+    tags = {r.path[-5:]: r.tags for r in tiff_files.read_tags(spark, str(tmp_path)).collect()}
+    assert set(tags) == {"a.tif", "b.tif"} and tags["a.tif"][305] == ["made"] and tags["b.tif"][282] == ["1.5"] and tags["b.tif"][256] == ["4"]
+    rows = tiff_files.read_rows(spark, str(tmp_path)).collect()
+    assert len(rows) == 2 * 5 * 3 and all(r["values"] == image[r.row, :, r.band].tolist() for r in rows)
