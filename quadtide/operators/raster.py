@@ -122,7 +122,7 @@ def resample(points: DataFrame, pixels: DataFrame, mode: str) -> DataFrame:
     p = points.withColumn("c", F.explode(taps)).withColumns({"px": (F.floor("u") + F.col("c.i")).cast("int"), "py": (F.floor("v") + F.col("c.j")).cast("int")})
     share = lambda at, k: kernel(F.col(k) - (F.col(at) - F.floor(at)))
     weighted = p.withColumn("w", share("u", "c.i") * share("v", "c.j")).join(pixels.withColumnRenamed("v", "value"), ["img", "tile", "px", "py"])
-    total = F.nullif(F.round(F.sum("w"), 12), F.lit(0.0))
+    total = F.nullif(F.sum("w"), F.lit(0.0))
     return weighted.groupBy("img", "tile", "id").agg((F.sum(F.col("w") * F.col("value")) / total).alias("value"))
 
 
