@@ -86,3 +86,28 @@ def tile_capabilities(image: Column, stamp: Column, box: tuple[Column, Column, C
         "</ows:Identifier><ows:SupportedCRS>CRS:1</ows:SupportedCRS>", matrices, "</TileMatrixSet></Contents></Capabilities>",
     )
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+def map_capabilities(layers: DataFrame, server: str) -> DataFrame:
+    """What a map service offers (WMS 1.3.0), one row a layer of (name, west, south, east, north): (name, layer).
+
+    A document is :func:`map_document` around the layers that a caller selects; a catalogue of any size is never gathered here.
+    """
+    number = lambda c: F.col(c).cast("string")
+    sides = (("west", "westBoundLongitude"), ("east", "eastBoundLongitude"), ("south", "southBoundLatitude"), ("north", "northBoundLatitude"))
+    box = F.concat(*(F.concat(F.lit(f"<{tag}>"), number(c), F.lit(f"</{tag}>")) for c, tag in sides))
+    link = F.concat(F.lit(server.rstrip("/") + "/"), F.replace("name", F.lit(":"), F.lit("/")))
+    parts = (
+        '<Layer queryable="0"><Name>', _escaped(F.col("name")), "</Name><Title>", _escaped(F.col("name")), "</Title><CRS>CRS:84</CRS><EX_GeographicBoundingBox>",
+        box, '</EX_GeographicBoundingBox><DataURL><Format>image/png</Format><OnlineResource xmlns:xlink="http://www.w3.org/1999/xlink" xlink:type="simple" xlink:href="',
+        _escaped(link), '"/></DataURL></Layer>',
+    )
+    return layers.select("name", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("layer"))
+
+
+def map_document(layers: list[str], title: str) -> str:
+    from xml.sax.saxutils import escape
+
+    head = f'<WMS_Capabilities xmlns="http://www.opengis.net/wms" version="1.3.0"><Service><Name>WMS</Name><Title>{escape(title)}</Title></Service>'
+    offer = "<Capability><Request><GetCapabilities><Format>text/xml</Format></GetCapabilities><GetMap><Format>image/png</Format></GetMap></Request>"
+    return f"{head}{offer}<Layer><Title>{escape(title)}</Title>{''.join(layers)}</Layer></Capability></WMS_Capabilities>"

@@ -318,3 +318,15 @@ def test_tiff(spark, tmp_path):
     assert set(tags) == {"a.tif", "b.tif"} and tags["a.tif"][305] == ["made"] and tags["b.tif"][282] == ["1.5"] and tags["b.tif"][256] == ["4"]
     rows = tiff_files.read_rows(spark, str(tmp_path)).collect()
     assert len(rows) == 2 * 5 * 3 and all(r["values"] == image[r.row, :, r.band].tolist() for r in rows)
+
+
+def test_map_capabilities(spark):
+    import xml.etree.ElementTree as ET
+
+    layers = spark.createDataFrame([("a:1", -1.5, 2.0, 3.0, 4.0), ('b&"c', 0.0, 0.0, 1.0, 1.0)], "name string, west double, south double, east double, north double")
+    rows = documents.map_capabilities(layers, "http://h/").orderBy("name").collect()
+    ns = {"m": "http://www.opengis.net/wms"}
+    found = ET.fromstring(documents.map_document([r.layer for r in rows], "a<b")).findall("m:Capability/m:Layer/m:Layer", ns)
+    assert [f.find("m:Name", ns).text for f in found] == ["a:1", 'b&"c']
+    assert [v.text for v in found[0].find("m:EX_GeographicBoundingBox", ns)] == ["-1.5", "3.0", "2.0", "4.0"]
+    assert found[0].find("m:DataURL/m:OnlineResource", ns).get("{http://www.w3.org/1999/xlink}href") == "http://h/a/1"
