@@ -6,10 +6,17 @@ fingerprint, so two documents that share a run of at least ``min_words`` words s
 fingerprint is joined with its first occurrence (the least document, then line); both sides are compared line by
 line outwards, as far as ``min_words`` words reach: further on the next shared fingerprint carries on. Matches that
 touch form a run; a run of at least ``min_words`` words is deleted, the first occurrence stays.
+
+A gram's first occurrence can stand among other lines than a later one's, so windows (the shortest runs of
+``min_words`` words from some line on or up to some line, which together cover every longer run) are compared too.
+A window goes by its fingerprint; those of shared fingerprints are grouped by their hashes, and each but the first of
+its group is a match. This finds the repeats of all earlier occurrences.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ._store import fresh, table
 from ._text import words
 
-GRAMS = "doc bigint, txt bigint, h bigint, a int, b int, before array<bigint>, after array<bigint>"
+GRAMS = "doc bigint, txt bigint, h bigint, a int, b int, before array<bigint>, after array<bigint>, w array<bigint>, wa array<int>, wb array<int>"
 
 
 def units(text: str | None) -> tuple[list[str], list[int], list[int], list[int]]:
@@ -47,37 +54,45 @@ def ends(sizes: list[int], least: int) -> list[int]:
     return out
 
 
-def fingerprints(hashes: list[int], sizes: list[int], min_words: int, gram_words: int) -> list[tuple[int, int, int]]:
-    """(hash, first line, last line) of the grams that winnowing selects, in order."""
+def fingerprints(hashes: list[int], sizes: list[int], min_words: int, gram_words: int) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
+    """(hash, first line, last line, windows that go by it) of the grams that winnowing selects, in order."""
     gram_end, span_end = ends(sizes, gram_words), ends(sizes, min_words)
     grams = [None if e < 0 else (hashes[i] if e == i else xxhash.xxh3_64_intdigest(repr(hashes[i : e + 1])) - 2**63) for i, e in enumerate(gram_end)]
-    picked: dict[int, tuple[int, int, int]] = {}
+    picked: dict[int, tuple[int, int, int, list[tuple[int, int]]]] = {}
+    of_start: list[list[tuple[int, int]]] = []
     for i, last in enumerate(span_end):
         if last >= 0:
             best = min((grams[k], -k) for k in range(i, last + 1) if grams[k] is not None and gram_end[k] <= last)
-            picked[-best[1]] = (best[0], -best[1], gram_end[-best[1]])
+            windows = picked.setdefault(-best[1], (best[0], -best[1], gram_end[-best[1]], []))[3]
+            windows.append((i, last))
+            of_start.append(windows)
+    n = len(sizes)
+    for last, back in zip(range(n - 1, -1, -1), ends(sizes[::-1], min_words), strict=True):
+        if back >= 0 and span_end[i := n - 1 - back] != last:
+            of_start[i].append((i, last))
     return [picked[k] for k in sorted(picked)]
 
 
 def scan(batches, min_words: int, gram_words: int):
     """Arrow batches of (doc, txt, text) to fingerprints with the line hashes on either side, nearest first."""
-    schema = pa.schema([("doc", pa.int64()), ("txt", pa.int64()), ("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("txt", pa.int64()), ("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64())), ("w", pa.list_(pa.int64())), ("wa", pa.list_(pa.int32())), ("wb", pa.list_(pa.int32()))])
     for batch in batches:
         rows = []
         for doc, txt, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             _, _, hashes, sizes = units(text)
             if sum(sizes) < min_words:
                 continue
-            found = fingerprints(hashes, sizes, min_words, gram_words)
-            for h, a, b in found:
+            found, raw = fingerprints(hashes, sizes, min_words, gram_words), array("q", hashes).tobytes()
+            for h, a, b, windows in found:
                 low, total = a, 0
                 while low and (total := total + sizes[low - 1]) < min_words:
                     low -= 1
                 high, total = b + 1, sum(sizes[a + 1 : b + 1])
                 while high < len(sizes) and (total := total + sizes[high]) < min_words:
                     high += 1
-                rows.append((doc, txt, h, a, b, hashes[low:a][::-1], hashes[b + 1 : high]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema, strict=True)], schema=schema)
+                whole = [xxhash.xxh3_64_intdigest(raw[8 * i : 8 * j + 8]) - 2**63 for i, j in windows]
+                rows.append((doc, txt, h, a, b, hashes[low:a][::-1], hashes[b + 1 : high], whole, [i for i, _ in windows], [j for _, j in windows]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 10, schema, strict=True)], schema=schema)
 
 
 def rewrite(batches, text_at: int, runs_at: int, min_words: int, schema: pa.Schema):
@@ -121,7 +136,14 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, gram_words: int = 25) -> D
     first = grams.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
     grown = lambda side: F.expr(f"array_min(filter(sequence(0, least(size({side}), size(first.{side}))), i -> i = least(size({side}), size(first.{side})) or {side}[i] <> first.{side}[i]))")
     later = F.struct("doc", "txt", "a") != F.struct(*(F.col("first")[c].alias(c) for c in ("doc", "txt", "a")))
-    spans = grams.join(first, "h").filter(later).select("doc", "txt", F.struct((F.col("a") - grown("before")).alias("a"), (F.col("b") + grown("after")).alias("b")).alias("run"))
+    shared = table(
+        grams.join(first, "h").select("doc", "txt", "h", "w", "wa", "wb", F.when(later, F.struct((F.col("a") - grown("before")).alias("a"), (F.col("b") + grown("after")).alias("b"))).alias("run")), "shared"
+    )
+    windows = shared.select("doc", "txt", "h", F.explode(F.arrays_zip("w", "wa", "wb")).alias("x")).select("doc", "txt", "h", "x.*")
+    place = F.struct("doc", "txt", "wa")
+    first = table(windows.groupBy("h", "w").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "w", "first"), "first")  # stored, so that a skewed join can be split
+    again = windows.join(first, ["h", "w"]).filter(place != F.col("first")).select("doc", "txt", F.struct(F.col("wa").alias("a"), F.col("wb").alias("b")).alias("run"))
+    spans = shared.filter("run is not null").select("doc", "txt", "run").unionAll(again)
     found = spans.groupBy("doc", "txt").agg(F.collect_set("run").alias(runs)).toDF(k1, k2, runs)
     joined = keyed.join(found, [k1, k2], "left").select(*docs.columns, runs)
     out = T.StructType([*docs.schema.fields]).add("n_removed_lines", T.LongType())

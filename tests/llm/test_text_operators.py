@@ -215,6 +215,48 @@ def test_line_dedup_finds_every_run(spark):
         assert out[i].text == "\n".join([*a, *(run if i % 2 == 0 else []), *b])
 
 
+def test_line_dedup_meets_every_earlier_run(spark):
+    """A run is found though the first occurrence of one of its grams stands among other lines."""
+    rng = random.Random(21)
+    line = lambda n: " ".join(f"v{rng.random()}" for _ in range(n))
+    texts = []
+    for k in range(12):
+        a, b = line(30), line(30)
+        texts += [[line(20), (a, b)[k % 2], line(40)], [line(7), a, b], [line(9), a, b]]
+    out = line_dedup.dedup_lines(frame(spark, ["\n".join(t) for t in texts])).orderBy("doc_id").collect()
+    for i, t in enumerate(texts):
+        assert out[i].text == "\n".join(t[:1] if i % 3 == 2 else t)
+
+
+def brute_windows(texts, least=50):
+    """Numbers of the lines in runs of at least ``least`` words that occur earlier, by text."""
+    seen, out = set(), []
+    for text in texts:
+        lines, gone = [" ".join(words(x)) for x in text.split("\n")], set()
+        for i in range(len(lines)):
+            new = []
+            for j in range(i, len(lines)):
+                run = tuple(lines[i : j + 1])
+                if sum(len(x.split()) for x in run) >= least:
+                    if run in seen:
+                        gone.update(range(i, j + 1))
+                    new.append(run)
+            seen.update(new)
+        out.append(gone)
+    return out
+
+
+def test_line_dedup_is_complete(spark):
+    """Of texts dealt from few lines, each line in a run of 50 words that stands earlier goes."""
+    rng = random.Random(22)
+    stock = [" ".join(f"s{rng.random()}" for _ in range(rng.choice((1, 2, 8, 20, 26, 30, 45, 60)))) for _ in range(40)]
+    texts = ["\n".join(rng.sample(stock, rng.randint(1, 9))) for _ in range(400)]
+    out = line_dedup.dedup_lines(frame(spark, texts)).orderBy("doc_id").collect()
+    for text, gone, r in zip(texts, brute_windows(texts), out, strict=True):
+        left = set(r.text.split("\n")) if r.text else set()
+        assert not left & {x for k, x in enumerate(text.split("\n")) if k in gone}
+
+
 def test_line_dedup_within_a_document(spark):
     line = " ".join(prose(random.Random(8), 60))
     (row,) = line_dedup.dedup_lines(frame(spark, [f"{line}\nmiddle\n\n{line}\nend"])).collect()
