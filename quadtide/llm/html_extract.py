@@ -3,7 +3,8 @@
 Each page becomes a tree of elements, in which a run of sibling elements of the same shape counts as one. The trees of a
 host are aligned by simple tree matching with the tree of one of its pages. Over all distinct pages of the host, a text
 that recurs at its aligned node in most of them belongs to the template, and a node outside the article whose texts
-come from a small stock (adverts, footers) is a template slot too; the other texts vary with the page and are content.
+come from a small stock (adverts, footers) is a template slot too; the other texts vary with the page and are content,
+inside an article element or not. Where a host has no template, an article that holds most of a page's text is its content.
 Elements that HTML itself sets apart (navigation, asides, forms, scripts ...), or whose class or id names such a part,
 are never content.
 
@@ -82,11 +83,12 @@ class Page:
             self.labels.append(f"{tag} {names}".strip())
             self.tags.append(tag)
             self.parents.append(parent)
+            if tag == "article":  # only a whole name counts: "comment", not "comments-open"
+                words = {w for _, v in _ATTR.findall(m[6]) for w in v.strip("\"'").lower().split()}
             is_article = tag in ARTICLE or "role=main" in names
-            inside = self.article[parent] or is_article
-            self.article.append(inside)
-            apart = tag in APART or (tag == "header" and not self.article[parent]) or (bool(words & NAMES) and tag not in ("html", "body", "article", "main")) or bool(m[6]) and bool(_HIDDEN.search(m[6]))
+            apart = tag in APART or (tag == "header" and not self.article[parent]) or (bool(words & NAMES) and tag not in ("html", "body", "main")) or bool(m[6]) and bool(_HIDDEN.search(m[6]))
             self.apart.append(self.apart[parent] or apart)
+            self.article.append((self.article[parent] or is_article) and not self.apart[node])
             if tag not in VOID and not m[6].endswith("/"):
                 stack.append(node)
         if at < len(source):
@@ -95,6 +97,14 @@ class Page:
     def text(self, node: int, raw: str) -> None:
         self.texts.append((node, entities.unescape(raw)))
 
+    def mostly_article(self) -> bool:
+        """Articles hold more than half of the text that is not set apart."""
+        size = [0, 0]
+        for n, raw in self.texts:
+            if not self.apart[n]:
+                size[self.article[n]] += len(squeeze(raw))
+        return size[1] > size[0]
+
     def skeleton(self) -> tuple[str, list[int]]:
         """The tree as text, runs of like siblings taken as one, and for each element its place in it."""
         n = len(self.labels)
@@ -203,7 +213,7 @@ def skeletons(batches):
             p = Page(source)
             skeleton, place = p.skeleton()
             found = sorted({(2 * place[n] + p.article[n], text_hash(t)) for n, raw in p.texts if not p.apart[n] and (t := squeeze(raw))})
-            fp = text_hash(repr([text_hash(t) for n, raw in p.texts if p.article[n] and (t := squeeze(raw))] or found))
+            fp = text_hash(repr([text_hash(t) for n, raw in p.texts if p.article[n] and (t := squeeze(raw))] if p.mostly_article() else found))
             rows.append((host, page, fp, skeleton, [a for a, _ in found], [h for _, h in found]))
         types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], ["host", "page", "fp", "skeleton", "slots", "hashes"])
@@ -223,9 +233,8 @@ def aligned(batches):
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int64()), pa.array(hashes, pa.int64())], ["host", "slot", "hash"])
 
 
-def main_text(p: Page, to: dict[int, int], place: list[int], fixed: set[tuple[int, int]], stock: set[int]) -> str:
-    """Blocks of a page's varying texts, in the article if there is one."""
-    only = any(p.article)
+def main_text(p: Page, to: dict[int, int], place: list[int], fixed: set[tuple[int, int]], stock: set[int], only: bool) -> str:
+    """Blocks of a page's varying texts; ``only`` those in articles."""
     out, block, ends = [], [], iter([*p.breaks, len(p.texts)])
     end = next(ends)
     for i, (n, raw) in enumerate(p.texts):
@@ -244,22 +253,22 @@ def main_text(p: Page, to: dict[int, int], place: list[int], fixed: set[tuple[in
 
 
 def extract_batches(batches):
-    """Arrow batches of (page_id, url, html, reference, fixed slots, fixed hashes, stock slots) to the result."""
+    """Arrow batches of (page_id, url, html, reference, fixed slots, fixed hashes, stock slots, no template) to the result."""
     known = Aligner()
     for batch in batches:
         texts = []
-        for source, ref, slots, hashes, stock in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True):
+        for source, ref, slots, hashes, stock, alone in zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True):
             p = Page(source)
-            if ref is None:
-                texts.append(main_text(p, {}, [0] * len(p.labels), set(), set()))
+            if ref is None or alone:
+                texts.append(main_text(p, {}, [0] * len(p.labels), set(), set(), p.mostly_article()))
             else:
                 skeleton, place = p.skeleton()
-                texts.append(main_text(p, known[skeleton, ref], place, set(zip(slots or (), hashes or (), strict=True)), set(stock or ())))
+                texts.append(main_text(p, known[skeleton, ref], place, set(zip(slots or (), hashes or (), strict=True)), set(stock or ()), False))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def induce(pages: DataFrame, fixed_share: float, article_share: float, stock_share: float, least_pages: int) -> DataFrame:
-    """One row per host: reference skeleton, fixed (slot, hash) pairs, stock slots."""
+    """One row per host: reference skeleton, fixed (slot, hash) pairs, stock slots, whether it has too few pages."""
     rows = table(pages.mapInArrow(skeletons, "host string, page bigint, fp bigint, skeleton string, slots array<bigint>, hashes array<bigint>"), "skeletons")
     first = F.min(F.struct("page", "skeleton"))
     refs = table(rows.groupBy("host").agg(first["skeleton"].alias("ref"), F.approx_count_distinct("fp", 0.01).alias("n")), "references")
@@ -271,7 +280,7 @@ def induce(pages: DataFrame, fixed_share: float, article_share: float, stock_sha
     fixed = counts.filter(F.col("k") >= share * F.col("n")).groupBy("host").agg(F.collect_list(F.struct("slot", "hash")).alias("f"))
     slots = counts.filter("slot % 2 = 0").groupBy("host", "slot").agg(F.count("*").alias("texts"), F.sum("k").alias("k"), F.first("n").alias("n"))
     stock = slots.filter((F.col("n") >= 2 * least_pages) & (F.col("texts") <= stock_share * F.col("k"))).groupBy("host").agg(F.collect_list("slot").alias("stock"))
-    return refs.join(fixed, "host", "left").join(stock, "host", "left").select("host", "ref", F.col("f.slot").alias("f_slots"), F.col("f.hash").alias("f_hashes"), "stock")
+    return refs.join(fixed, "host", "left").join(stock, "host", "left").select("host", "ref", F.col("f.slot").alias("f_slots"), F.col("f.hash").alias("f_hashes"), "stock", (F.col("n") < least_pages).alias("alone"))
 
 
 def extract(pages: DataFrame, fixed_share: float = 0.5, article_share: float = 0.9, stock_share: float = 0.2, least_pages: int = 10, broadcast_bytes: int = 32 * 2**20) -> DataFrame:
@@ -280,7 +289,8 @@ def extract(pages: DataFrame, fixed_share: float = 0.5, article_share: float = 0
     A text is template if it stands at its aligned node in at least ``fixed_share`` of the host's distinct pages
     (``article_share`` inside an article or main element, where copies of one article must not count as template), and
     an element outside articles is a template slot if it has at most ``stock_share`` different texts a page. Hosts with
-    fewer than ``least_pages`` distinct pages have no template; what HTML sets apart is dropped there too. A null url or
+    fewer than ``least_pages`` distinct pages have no template; what HTML sets apart is dropped there too, and what stands
+    outside the articles of a page if they hold more than half of its text (the only use of the tag by itself). A null url or
     one without host is a host of its own, a null html is empty. Repeated rows give repeated results; an empty table
     gives an empty one; other columns are not read. Character references are decoded once; white space in a block
     becomes one space; blocks are joined by one space.
@@ -292,6 +302,6 @@ def extract(pages: DataFrame, fixed_share: float = 0.5, article_share: float = 0
     wrappers = table(induce(src.select(F.col("page_id").cast("long").alias("page"), "host", "html"), fixed_share, article_share, stock_share, least_pages), "wrappers")
     size = wrappers.agg(F.sum(F.length("ref") + F.length("host") + 64 + 16 * F.greatest(F.size("f_slots"), F.lit(0)) + 8 * F.greatest(F.size("stock"), F.lit(0)))).first()[0] or 0
     side = F.broadcast(wrappers) if size <= broadcast_bytes else wrappers
-    joined = src.join(side, "host", "left").select("page_id", "url", "html", "ref", "f_slots", "f_hashes", "stock")
+    joined = src.join(side, "host", "left").select("page_id", "url", "html", "ref", "f_slots", "f_hashes", "stock", "alone")
     kept = [f.dataType.simpleString() for f in joined.schema.fields[:2]]
     return joined.mapInArrow(extract_batches, f"page_id {kept[0]}, url {kept[1]}, text string, n_chars bigint")

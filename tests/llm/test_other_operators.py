@@ -42,6 +42,31 @@ def test_template_without_marks(spark):
     assert sorted(out) == sorted(joined)
 
 
+PAGES = "page_id bigint, url string, html string"
+
+
+def test_articles_are_a_signal(spark):
+    """Varying text outside an article stays, with and without a template; articles set apart are none."""
+    long = lambda i: f"Body {i * 13} " + f"word{i} " * 30
+    shapes = {
+        "aside": lambda i: (f"<div class=t>{long(i)}</div><aside><article>Teaser {i}</article></aside>", long(i)),
+        "teaser": lambda i: (f"<div class=t>{long(i)}</div><article>Short {i}</article>", f"{long(i).strip()} Short {i}"),
+        "comment": lambda i: (f"<article class=post-comments>{long(i)}</article><article class=comment>Me {i}</article>", long(i)),
+        "intro": lambda i: (f"<div class=i>Intro {i}</div><article>{long(i)}</article><div class=m>Our menu</div>", f"Intro {i} {long(i)}"),
+    }
+    rows, expect = [], {}
+    for k, (name, shape) in enumerate(shapes.items()):
+        for i in range(40):
+            body, text = shape(i)
+            rows.append((100 * k + i, f"http://{name}/", f"<body>{body}</body>"))
+            expect[100 * k + i] = text.strip()
+        if name != "intro":
+            rows.append((1000 + k, f"http://{name}.one/", rows[-1][2]))
+            expect[1000 + k] = text.strip()
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert out == expect
+
+
 def test_tree_matching():
     a, b = "(#(x)(p(b))(y))", "(#(q)(p(b)(i))(y))"
     assert html_extract.align(a, b) == {0: 0, 2: 2, 3: 3, 4: 5}
