@@ -268,19 +268,20 @@ def extract_batches(batches):
 
 
 def induce(pages: DataFrame, fixed_share: float, article_share: float, stock_share: float, least_pages: int) -> DataFrame:
-    """One row per host: reference skeleton, fixed (slot, hash) pairs, stock slots, whether it has too few pages."""
+    """One row per host: reference skeleton, fixed (slot, hash) pairs, stock slots, whether it has one page only."""
     rows = table(pages.mapInArrow(skeletons, "host string, page bigint, fp bigint, skeleton string, slots array<bigint>, hashes array<bigint>"), "skeletons")
     first = F.min(F.struct("page", "skeleton"))
     refs = table(rows.groupBy("host").agg(first["skeleton"].alias("ref"), F.approx_count_distinct("fp", 0.01).alias("n")), "references")
     each = rows.groupBy("host", "fp").agg(F.min(F.struct("page", "skeleton", "slots", "hashes")).alias("p")).select("host", "p.*")
     cells = each.join(refs.select("host", "ref"), "host").select("host", "skeleton", "slots", "hashes", "ref").mapInArrow(aligned, "host string, slot bigint, hash bigint")
     counts = cells.groupBy("host", "slot", "hash").agg(F.count("*").alias("k"))
-    counts = table(counts, "slots").join(refs.select("host", "n"), "host").filter(F.col("n") >= least_pages)
-    share = F.when(F.col("slot") % 2 == 1, article_share).otherwise(fixed_share)
-    fixed = counts.filter(F.col("k") >= share * F.col("n")).groupBy("host").agg(F.collect_list(F.struct("slot", "hash")).alias("f"))
-    slots = counts.filter("slot % 2 = 0").groupBy("host", "slot").agg(F.count("*").alias("texts"), F.sum("k").alias("k"), F.first("n").alias("n"))
-    stock = slots.filter((F.col("n") >= 2 * least_pages) & (F.col("texts") <= stock_share * F.col("k"))).groupBy("host").agg(F.collect_list("slot").alias("stock"))
-    return refs.join(fixed, "host", "left").join(stock, "host", "left").select("host", "ref", F.col("f.slot").alias("f_slots"), F.col("f.hash").alias("f_hashes"), "stock", (F.col("n") < least_pages).alias("alone"))
+    counts = table(counts, "slots").join(refs.select("host", "n"), "host").filter("n > 1")
+    many = F.col("n") >= least_pages
+    share = F.when((F.col("slot") % 2 == 0) & many, fixed_share).otherwise(article_share)
+    fixed = counts.filter((F.col("k") > 1) & (F.col("k") >= share * F.col("n")) & ((F.col("slot") % 2 == 0) | many)).groupBy("host").agg(F.collect_list(F.struct("slot", "hash")).alias("f"))
+    slots = counts.filter("slot % 2 = 0").groupBy("host", "slot").agg(F.count("*").alias("texts"), F.sum("k").alias("k"))
+    stock = slots.filter(F.col("texts") <= stock_share * F.col("k")).groupBy("host").agg(F.collect_list("slot").alias("stock"))
+    return refs.join(fixed, "host", "left").join(stock, "host", "left").select("host", "ref", F.col("f.slot").alias("f_slots"), F.col("f.hash").alias("f_hashes"), "stock", (F.col("n") < 2).alias("alone"))
 
 
 def extract(pages: DataFrame, fixed_share: float = 0.5, article_share: float = 0.9, stock_share: float = 0.2, least_pages: int = 10, broadcast_bytes: int = 32 * 2**20) -> DataFrame:
@@ -289,8 +290,9 @@ def extract(pages: DataFrame, fixed_share: float = 0.5, article_share: float = 0
     A text is template if it stands at its aligned node in at least ``fixed_share`` of the host's distinct pages
     (``article_share`` inside an article or main element, where copies of one article must not count as template), and
     an element outside articles is a template slot if it has at most ``stock_share`` different texts a page. Hosts with
-    fewer than ``least_pages`` distinct pages have no template; what HTML sets apart is dropped there too, and what stands
-    outside the articles of a page if they hold more than half of its text (the only use of the tag by itself). A null url or
+    fewer than ``least_pages`` distinct pages need ``article_share`` outside articles, of two pages at least, and have no
+    template inside them. A host of one distinct page has no template; what HTML sets apart is dropped there too, and what
+    stands outside the articles of a page if they hold more than half of its text (the only use of the tag by itself). A null url or
     one without host is a host of its own, a null html is empty. Repeated rows give repeated results; an empty table
     gives an empty one; other columns are not read. Character references are decoded once; white space in a block
     becomes one space; blocks are joined by one space.

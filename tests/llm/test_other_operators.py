@@ -67,6 +67,15 @@ def test_articles_are_a_signal(spark):
     assert out == expect
 
 
+@pytest.mark.parametrize("n", [2, 3, 9, 13])
+def test_few_pages_have_a_template(spark, n):
+    shared = "<p>Shared sentence.</p>"
+    rows = [(i, "http://few.org/", f"<body><div class=m>Our menu</div><div class=n>Offer {i % 2 if n > 9 else 'now'}</div><div class=c><p>Text {i * 17}</p></div></body>") for i in range(n)]
+    rows += [(100 + i, "http://copies.org/", f"<body><div class=m>Our menu</div><article>{shared}<p>Edit {i}</p></article></body>") for i in range(2)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert out == {i: f"Text {i * 17}" for i in range(n)} | {100 + i: f"Shared sentence. Edit {i}" for i in range(2)}
+
+
 def test_tree_matching():
     a, b = "(#(x)(p(b))(y))", "(#(q)(p(b)(i))(y))"
     assert html_extract.align(a, b) == {0: 0, 2: 2, 3: 3, 4: 5}
