@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction.
 
 Each page becomes a tree of elements, in which a run of sibling elements of the same shape counts as one. The trees of a
-host are aligned by simple tree matching with the tree of one of its pages. Over all distinct pages of the host, a text
+host are aligned by simple tree matching with the tree of one of its pages; nodes without a partner there are aligned with
+each other by the labels on their path from the root, so that parts of other layouts are found too. Over all distinct pages of the host, a text
 that recurs at its aligned node in most of them belongs to the template, and a node outside the article whose texts
 come from a small stock (adverts, footers) is a template slot too; the other texts vary with the page and are content,
 inside an article element or not. Where a host has no template, an article that holds most of a page's text is its content.
@@ -187,13 +188,24 @@ def align(one: str, other: str) -> dict[int, int]:
     return out
 
 
+def elsewhere(skeleton: str, to: dict[int, int]) -> dict[int, int]:
+    """Slots of the places without a partner, by their path of labels; beyond any place."""
+    labels, kids = tree(skeleton)
+    paths = [text_hash(labels[0])] * len(labels)
+    for i, below in enumerate(kids):  # parents come before their children
+        for k in below:
+            paths[k] = text_hash(f"{paths[i]}({labels[k]}")
+    return {i: 2**32 + paths[i] % 2**60 for i in range(len(labels)) if i not in to}
+
+
 class Aligner(dict):
-    """Alignments by pair of skeletons; forgets all at a bound."""
+    """Slots of the places of a skeleton by it and its reference; forgets all at a bound."""
 
     def __missing__(self, key: tuple[str, str]) -> dict[int, int]:
         if len(self) >= 2000:
             self.clear()
-        out = self[key] = align(*key)
+        to = align(*key)
+        out = self[key] = to | elsewhere(key[0], to)
         return out
 
 
@@ -226,7 +238,7 @@ def aligned(batches):
         hosts, slots, hashes = [], [], []
         for host, skeleton, own, h, ref in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             to = known[skeleton, ref]
-            for s, x in {(2 * to[a // 2] + a % 2, x) for a, x in zip(own, h, strict=True) if a // 2 in to}:
+            for s, x in {(2 * to[a // 2] + a % 2, x) for a, x in zip(own, h, strict=True)}:
                 hosts.append(host)
                 slots.append(s)
                 hashes.append(x)
@@ -271,8 +283,8 @@ def induce(pages: DataFrame, fixed_share: float, article_share: float, stock_sha
     """One row per host: reference skeleton, fixed (slot, hash) pairs, stock slots, whether it has one page only."""
     rows = table(pages.mapInArrow(skeletons, "host string, page bigint, fp bigint, skeleton string, slots array<bigint>, hashes array<bigint>"), "skeletons")
     first = F.min(F.struct("page", "skeleton"))
-    refs = table(rows.groupBy("host").agg(first["skeleton"].alias("ref"), F.approx_count_distinct("fp", 0.01).alias("n")), "references")
-    each = rows.groupBy("host", "fp").agg(F.min(F.struct("page", "skeleton", "slots", "hashes")).alias("p")).select("host", "p.*")
+    each = table(rows.groupBy("host", "fp").agg(F.min(F.struct("page", "skeleton", "slots", "hashes")).alias("p")).select("host", "p.*"), "distinct")
+    refs = table(each.groupBy("host").agg(first["skeleton"].alias("ref"), F.count("*").alias("n")), "references")
     cells = each.join(refs.select("host", "ref"), "host").select("host", "skeleton", "slots", "hashes", "ref").mapInArrow(aligned, "host string, slot bigint, hash bigint")
     counts = cells.groupBy("host", "slot", "hash").agg(F.count("*").alias("k"))
     counts = table(counts, "slots").join(refs.select("host", "n"), "host").filter("n > 1")

@@ -76,6 +76,15 @@ def test_few_pages_have_a_template(spark, n):
     assert out == {i: f"Text {i * 17}" for i in range(n)} | {100 + i: f"Shared sentence. Edit {i}" for i in range(2)}
 
 
+def test_parts_of_other_layouts(spark):
+    """A menu that the host's first page lacks is template; pages are counted exactly."""
+    rows = [(i, "http://two.org/", f"<body><div class=a><p>Story {i * 7}</p></div></body>") for i in range(30)]
+    rows += [(100 + i, "http://two.org/", f"<body><div class=z><span>Other menu</span></div><div class=y><p>Item {i * 11}</p></div></body>") for i in range(30)]
+    pages = spark.createDataFrame(rows, PAGES)
+    out = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert out == {i: f"Story {i * 7}" for i in range(30)} | {100 + i: f"Item {i * 11}" for i in range(30)}
+
+
 def test_tree_matching():
     a, b = "(#(x)(p(b))(y))", "(#(q)(p(b)(i))(y))"
     assert html_extract.align(a, b) == {0: 0, 2: 2, 3: 3, 4: 5}
