@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import table
+from ._store import fresh, table
 from ._text import Cache, words
 
 BANDS, ROWS = 24, 5
@@ -299,6 +299,12 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, t
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its class; rows without id stay."""
-    kept = jaccard_classes(docs, **kw).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.filter("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(*docs.columns))
+    """One row of ``docs`` for each class, of those with its least doc_id that with the least hash of its text; rows
+    without id stay. Rows that share a doc_id but not the text are told apart, rows alike in both count once."""
+    node, txt = fresh(docs, "node", "txt")
+    keyed = docs.filter("doc_id is not null").withColumn(txt, F.xxhash64("text")).withColumn(node, F.xxhash64(F.col("doc_id").cast("long"), txt))
+    places = keyed.select(node, F.struct("doc_id", txt, node).alias("place"))
+    classes = jaccard_classes(keyed.select(F.col(node).alias("doc_id"), "text"), **kw).select(F.col("doc_id").alias(node), "class_id").distinct()
+    kept = places.join(classes, node).groupBy("class_id").agg(F.min("place").alias("place")).select(F.col("place")[node].alias(node))
+    one = keyed.join(kept, node, "left_semi").dropDuplicates([node])
+    return docs.filter("doc_id is null").unionByName(one.select(*docs.columns))

@@ -327,6 +327,15 @@ def test_jaccard_edges(spark):
     assert {r.doc_id for r in kept.collect()} == {None, 1, 4, 5, 6, 7} and kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+def test_keep_one_row_of_a_class(spark):
+    """Rows that share an id: copies are reduced to one, other texts follow their own class."""
+    first, second = "the first text that many rows repeat " * 6, "quite another text with its own words " * 6
+    texts = [(5, first), (5, first), (5, second), (7, second), (9, first), (9, "a third one alone " * 9), (None, first), (None, first)]
+    rows = [(i, t, "en", "s", "x", 1, "r", 0) for i, t in texts]
+    out = jaccard.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter([(5, first), (5, second), (9, texts[5][1]), *texts[6:]])
+
+
 def test_pruning_table():
     keep = jaccard.least_matches(120, 0.8, 1e-6)
     assert keep[20] < keep[120] < 96 and set(keep) == {20, 40, 60, 80, 100, 120}
