@@ -131,7 +131,7 @@ def sketches(batches):
 
 def choose(found: list[tuple[str, int, int]], n_pos: int, n_neg: int, keep: float = 0.8) -> dict[str, float]:
     """The patterns to use: along each word, the longest start that still has most of the toxic texts of the first
-    that is clean. Weight: log-odds with half a text added to each count."""
+    that is clean; and the whole words that none of these covers. Weight: log-odds with half a text added to each count."""
     pos = {p: (a, b) for p, a, b in found}
     weight = lambda p: math.log((pos[p][0] + 0.5) / (n_pos + 1)) - math.log((pos[p][1] + 0.5) / (n_neg + 1))
     followers: dict[str, list[str]] = {}
@@ -145,6 +145,9 @@ def choose(found: list[tuple[str, int, int]], n_pos: int, n_neg: int, keep: floa
         while longer := [q for q in followers.get(best, ()) if pos[q][0] >= keep * pos[p][0]]:
             best = max(longer, key=lambda q: (pos[q][0], q))
         out[best] = weight(best)
+    for p in (p for p in pos if p.endswith(" ")):
+        if not any(p[:k] in out for k in range(2, len(p) + 1)):
+            out[p] = weight(p)
     return out
 
 

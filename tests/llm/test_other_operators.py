@@ -149,6 +149,13 @@ def test_fold_and_exceptions():
     assert lex.density(a, "idiot " + "word " * 99) == pytest.approx(2.5)
 
 
+def test_whole_words_are_chosen():
+    """A word that begins clean words counts as a whole word; one that a chosen start covers is not repeated."""
+    found = [(" tox ", 60, 0), (" vequ", 50, 0), (" vequelle ", 20, 0)]
+    chosen = toxicity.choose(found, 100, 1000)
+    assert set(chosen) == {" tox ", " vequ"} and chosen[" tox "] > chosen[" vequ"]
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     plain = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(400)]
