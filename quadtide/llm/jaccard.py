@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import fresh, table
+from ._store import Store, fresh, join_hot
 from ._text import Cache, words
 
 BANDS, ROWS = 24, 5
@@ -265,42 +265,45 @@ def paired(df: DataFrame) -> DataFrame:
     return df.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"a": F.least("blk", "o"), "b": F.greatest("blk", "o")}).drop("o")
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tolerance: float = 1e-6) -> DataFrame:
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tolerance: float = 1e-6, store: Store | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id, n_links, n_copies.
 
     class_id is the least doc_id that links of at least ``threshold`` lead to; n_links is the number of different
     shingle sets linked to the document's own, n_copies the number of rows with its very set (itself included).
     Fewer words than a shingle make one shingle; texts without a word (null, empty) are copies of each other. Rows
     that share a doc_id count as one document with each of their texts. A row without id takes no part: its class is
-    null and its counts are 0. Other columns are not read.
+    null and its counts are 0. An empty table gives an empty result; other columns are not read. Texts of any length
+    are taken whole: the shingles of one text, and of a block of ``BLOCK`` candidates, are in one task's memory. Ties cannot arise.
     """
+    store = store or Store(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("txt"), "text")
-    signed = table(src.filter("doc is not null").mapInArrow(lambda it: sign(it, shingle), "doc bigint, txt bigint, digest binary, sig binary, n bigint"), "signed")
-    reps = table(signed.groupBy("digest").agg(F.min(F.struct("doc", "txt", "sig")).alias("r"), F.count("*").alias("copies")).select("digest", F.col("r.doc").alias("rep"), F.col("r.txt").alias("txt"), F.col("r.sig").alias("sig"), "copies"), "classes")
+    signed = store.table(src.filter("doc is not null").mapInArrow(lambda it: sign(it, shingle), "doc bigint, txt bigint, digest binary, sig binary, n bigint"), "signed")
+    reps = store.table(signed.groupBy("digest").agg(F.min(F.struct("doc", "txt", "sig")).alias("r"), F.count("*").alias("copies")).select("digest", F.col("r.doc").alias("rep"), F.col("r.txt").alias("txt"), F.col("r.sig").alias("sig"), "copies"), "classes")
     with_words = reps.filter("sig is not null")
     buckets = with_words.select("rep", "sig").mapInArrow(spread, "band int, key bigint, rep bigint")
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
     members = in_blocks(buckets.join(shared, ["band", "key"]), "size").join(with_words.select("rep", "sig"), "rep")
     work = paired(members).select("band", "key", "a", "b", "blk", "rep", "sig").repartition("band", "key", "a", "b").sortWithinPartitions("band", "key", "a", "b")
-    candidates = components(work.mapInArrow(lambda it: bucket_edges(it, threshold, tolerance), "u bigint, v bigint"))
+    candidates = components(work.mapInArrow(lambda it: bucket_edges(it, threshold, tolerance), "u bigint, v bigint"), store)
     sizes = candidates.groupBy("root").agg(F.count("*").alias("size"))
     grouped = candidates.join(sizes, "root").join(with_words.select(F.col("rep").alias("node"), "txt"), "node").select("root", "size", F.col("node").alias("rep"), "txt")
     texts = in_blocks(grouped, "size").join(src, (F.col("rep") == F.col("doc")) & (grouped["txt"] == src["txt"])).select("root", "blk", "nb", "rep", "text")
-    sets = table(texts.mapInArrow(lambda it: expand(it, shingle), "root bigint, blk int, nb int, rep bigint, sig binary, shingles binary"), "sets")
+    sets = store.table(texts.mapInArrow(lambda it: expand(it, shingle), "root bigint, blk int, nb int, rep bigint, sig binary, shingles binary"), "sets")
     checked = paired(sets).select("root", "a", "b", "blk", "rep", "sig", "shingles").repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
-    found = table(checked.mapInArrow(lambda it: group_links(it, threshold, tolerance), "u bigint, v bigint, links bigint"), "links")
+    found = store.table(checked.mapInArrow(lambda it: group_links(it, threshold, tolerance), "u bigint, v bigint, links bigint"), "links")
     degree = found.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("n_links"))
-    roots = components(found.filter("v is not null").select("u", "v")).toDF("rep", "root")
+    roots = components(found.filter("v is not null").select("u", "v"), store).toDF("rep", "root")
     known = reps.filter("copies > 1").select("digest", "rep", "copies").unionByName(reps.filter("copies = 1").join(degree.select("rep"), "rep", "left_semi").select("digest", "rep", "copies"))
     of_class = known.join(degree, "rep", "left").join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "copies")
-    out = signed.select("doc", "digest").join(of_class, "digest", "left").select(F.col("doc").alias("doc_id"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("copies", F.lit(1).cast("long")).alias("n_copies"))
+    out = join_hot(signed.select("doc", "digest"), store.table(of_class, "of-class"), ["digest"], "copies", signed.count(), "left").select(F.col("doc").alias("doc_id"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("copies", F.lit(1).cast("long")).alias("n_copies"))
     zero = F.lit(0).cast("long")
     return out.unionAll(src.filter("doc is null").select(F.col("doc").alias("doc_id"), F.col("doc").alias("class_id"), zero.alias("n_links"), zero.alias("n_copies")))
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
     """One row of ``docs`` for each class, of those with its least doc_id that with the least hash of its text; rows
-    without id stay. Rows that share a doc_id but not the text are told apart, rows alike in both count once."""
+    without id stay. Rows that share a doc_id but not the text are told apart, rows alike in both count once. Null and empty texts
+    are copies of each other; an empty table gives an empty result; all columns stay, whatever their names."""
     node, txt = fresh(docs, "node", "txt")
     keyed = docs.filter("doc_id is not null").withColumn(txt, F.xxhash64("text")).withColumn(node, F.xxhash64(F.col("doc_id").cast("long"), txt))
     places = keyed.select(node, F.struct("doc_id", txt, node).alias("place"))

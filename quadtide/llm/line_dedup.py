@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._store import fresh, table
+from ._store import Store, fresh, join_hot
 from ._text import words
 
 GRAMS = "doc bigint, txt bigint, h bigint, a int, b int, before array<bigint>, after array<bigint>, w array<bigint>, wa array<int>, wb array<int>"
@@ -119,30 +119,32 @@ def rewrite(batches, text_at: int, runs_at: int, min_words: int, schema: pa.Sche
         yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50, gram_words: int = 25) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 50, gram_words: int = 25, store: Store | None = None) -> DataFrame:
     """``docs`` (doc_id, text, and whatever else) without later repeats of runs of lines; adds n_removed_lines.
 
     The first occurrence is that in the least doc_id (null first), at the earliest line. Lines are compared by
     their words; lines without words neither match nor end a run. Null texts and texts under ``min_words`` words
     stay as they are; a text may become empty, its row stays. Rows alike in doc_id and text count as one document
     and are treated alike; rows that share only the id are told apart by their text. A column of the added name
-    is replaced.
+    is replaced. An empty table gives an empty result. Texts of any length are taken whole: a text's lines, and at most
+    ``min_words`` line hashes on either side of each fingerprint, are what a task holds of it. Fingerprints and windows
+    that very many texts share are joined where they are.
     """
+    store = store or Store(docs.sparkSession)
     docs = docs.drop("n_removed_lines")
     k1, k2, runs = fresh(docs, "doc", "txt", "runs")
     keyed = docs.withColumns({k1: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), k2: F.xxhash64("text")})
-    grams = table(keyed.select(k1, k2, "text").mapInArrow(lambda it: scan(it, min_words, gram_words), GRAMS), "grams")
+    grams = store.table(keyed.select(k1, k2, "text").mapInArrow(lambda it: scan(it, min_words, gram_words), GRAMS), "grams")
     place = F.struct("doc", "txt", "a", "before", "after")
-    first = grams.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
+    first = store.table(grams.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
     grown = lambda side: F.expr(f"array_min(filter(sequence(0, least(size({side}), size(first.{side}))), i -> i = least(size({side}), size(first.{side})) or {side}[i] <> first.{side}[i]))")
     later = F.struct("doc", "txt", "a") != F.struct(*(F.col("first")[c].alias(c) for c in ("doc", "txt", "a")))
-    shared = table(
-        grams.join(first, "h").select("doc", "txt", "h", "w", "wa", "wb", F.when(later, F.struct((F.col("a") - grown("before")).alias("a"), (F.col("b") + grown("after")).alias("b"))).alias("run")), "shared"
-    )
-    windows = shared.select("doc", "txt", "h", F.explode(F.arrays_zip("w", "wa", "wb")).alias("x")).select("doc", "txt", "h", "x.*")
+    met = join_hot(grams, first, ["h"], "n", grams.count())
+    shared = store.table(met.select("doc", "txt", "h", "w", "wa", "wb", F.when(later, F.struct((F.col("a") - grown("before")).alias("a"), (F.col("b") + grown("after")).alias("b"))).alias("run")), "shared")
+    windows = store.table(shared.select("doc", "txt", "h", F.explode(F.arrays_zip("w", "wa", "wb")).alias("x")).select("doc", "txt", "h", "x.*"), "windows")
     place = F.struct("doc", "txt", "wa")
-    first = table(windows.groupBy("h", "w").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "w", "first"), "first")  # stored, so that a skewed join can be split
-    again = windows.join(first, ["h", "w"]).filter(place != F.col("first")).select("doc", "txt", F.struct(F.col("wa").alias("a"), F.col("wb").alias("b")).alias("run"))
+    first = store.table(windows.groupBy("h", "w").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first-windows")
+    again = join_hot(windows, first, ["h", "w"], "n", windows.count()).filter(place != F.col("first")).select("doc", "txt", F.struct(F.col("wa").alias("a"), F.col("wb").alias("b")).alias("run"))
     spans = shared.filter("run is not null").select("doc", "txt", "run").unionAll(again)
     found = spans.groupBy("doc", "txt").agg(F.collect_set("run").alias(runs)).toDF(k1, k2, runs)
     joined = keyed.join(found, [k1, k2], "left").select(*docs.columns, runs)

@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import table
+from ._store import Store, small
 from ._text import WordBpe
 
-SALTS = 251
+#: Bins that pieces of one length class are dealt to, at least; one more for each so many pieces.
+SALTS, ROWS_A_SALT = 251, 1_000_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, rank_key bigint"
 
 
@@ -65,7 +66,8 @@ def patterns(counts: np.ndarray, room: int, max_columns: int = 20_000) -> list[t
     """(times, items by size) that hold ``counts[i]`` items of size ``i + 1`` in bins of ``room``.
 
     Revised simplex on the covering program, starting from one homogeneous pattern per size that occurs.
-    ``max_columns`` bounds the pivots; stopping early costs some padding and never an item.
+    ``max_columns`` bounds the pivots of a program of at most ``room`` rows, whose size does not depend on the number of
+    documents; stopping early costs some padding and never an item.
     """
     sizes = np.flatnonzero(counts)
     if not len(sizes):
@@ -140,27 +142,29 @@ def assign(batches, by_class: dict[int, tuple], names: list[str]):
         yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(seq)], [*names, "sequence_id"])
 
 
-def pack(docs: DataFrame, seq_len: int = 2048, grain: int = 8, end_id: int = 1, vocab: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, seq_len: int = 2048, grain: int = 8, end_id: int = 1, vocab: str | None = None, store: Store | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     docs: doc_id, text; other columns are not read. A null or empty text is the end id alone. Rows that repeat
     a doc_id are packed each. An empty table gives an empty result. Texts of any length are cut into sequences
     of their own and one rest. Ties in length are ranked by a hash of the ids, then by doc_id and start.
     """
-    pieces = table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: cut(it, vocab, seq_len, end_id), PIECES), "pieces")
+    store = store or Store(docs.sparkSession)
+    pieces = store.table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: cut(it, vocab, seq_len, end_id), PIECES), "pieces")
     room = seq_len // grain
     size = F.ceil(F.col("length") / grain).cast("long")
-    rest = pieces.withColumns({"class": size - 1, "salt": F.pmod(F.col("rank_key") + F.coalesce("doc_id", F.lit(0)), F.lit(SALTS))})
-    groups = table(rest.groupBy("class", "salt").count(), "classes")
+    salts = SALTS + pieces.count() // ROWS_A_SALT
+    rest = pieces.withColumns({"class": size - 1, "salt": F.pmod(F.col("rank_key") + F.coalesce("doc_id", F.lit(0)), F.lit(salts))})
+    groups = store.table(rest.groupBy("class", "salt").count(), "classes")
     counts = np.zeros(room, np.int64)
     for r in groups.groupBy("class").agg(F.sum("count").alias("n")).collect():  # at most seq_len / grain rows
         counts[r["class"]] = r["n"]
     by_class, _ = places(patterns(counts, room))
     before = F.coalesce(F.sum("count").over(Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = groups.select("class", "salt", before.alias("base"))  # at most seq_len / grain * SALTS rows
+    base = groups.select("class", "salt", before.alias("base"))  # at most seq_len / grain * salts rows
     within = F.row_number().over(Window.partitionBy("class", "salt").orderBy("rank_key", "doc_id", "start"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    ranked = rest.withColumn("at", within - 1).join(F.broadcast(base), ["class", "salt"]).select("class", (F.col("base") + F.col("at")).alias("rank"), *names)
+    ranked = rest.withColumn("at", within - 1).join(small(store.table(base, "bases"), F.lit(24)), ["class", "salt"]).select("class", (F.col("base") + F.col("at")).alias("rank"), *names)
     dealt = ranked.mapInArrow(lambda it: assign(it, by_class, names), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint")
     # a sequence holds at most seq_len pieces
     order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,7 +3,8 @@
 A public vocabulary with byte fallback encodes each word of a text by itself. Characters per token, the share of
 byte-fallback tokens and the entropy of the text's token distribution (as a share of the most that so many tokens
 can have) are compared with bands of the text's language and script. The bands come from all documents of the
-group that pass the base rules: the quartiles, widened by a multiple of the spread between them.
+group that pass the base rules: the quartiles, widened by a multiple of the spread between them. The fewer documents of
+like length a group has, the nearer its band lies to the wide one of its whole language and script.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import table
+from ._store import Store, small
 from ._text import Cache, words
 
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
@@ -97,42 +98,50 @@ def measure(batches, model: str | None, min_words: int, window: int, repeat_perc
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
-def bands(rows: DataFrame, keys: list[str], spread: float, least: dict[str, float], prefix: str, least_rows: int) -> DataFrame:
-    """Limits of each measure by group, of groups with at least so many rows."""
+def bands(rows: DataFrame, keys: list[str], spread: float, least: dict[str, float], prefix: str) -> DataFrame:
+    """Limits of each measure by group, and the size of the group."""
     quartiles = [F.percentile_approx(m, [0.25, 0.75], 1000).alias(f"q_{m}") for m in MEASURES]
-    out = rows.groupBy(*keys).agg(F.count("*").alias("k"), *quartiles).filter(F.col("k") >= least_rows)
+    out = rows.groupBy(*keys).agg(F.count("*").alias(f"{prefix}k"), *quartiles)
     limits = []
     for m in MEASURES:
         low, high = F.col(f"q_{m}")[0], F.col(f"q_{m}")[1]
         margin = F.greatest(spread * (high - low), F.lit(least[m]))
         limits += [(low - margin).alias(f"{prefix}low_{m}"), (high + margin).alias(f"{prefix}high_{m}")]
-    return out.select(*keys, *limits)
+    return out.select(*keys, f"{prefix}k", *limits)
 
 
-def fertility_rules(docs: DataFrame, spread: float = 3.0, least_rows: int = 30, min_words: int = 20, window: int = 8, repeat_percent: int = 30, model: str | None = None) -> DataFrame:
+def limits(passed: DataFrame, spread: float, prior_rows: float) -> DataFrame:
+    """low and high of each measure by lang_group, script and octave: the mean of the fine and the wide band, weighted by
+    the number of documents of the fine group and by ``prior_rows``."""
+    fine = bands(passed, ["lang_group", "script", "octave"], spread, {"chars_per_token": 0.02, "byte_share": 0.02, "token_entropy": 0.01}, "fine_")
+    wide = bands(passed, ["lang_group", "script"], 2 * spread, {"chars_per_token": 0.5, "byte_share": 0.05, "token_entropy": 0.15}, "wide_")
+    near = F.col("fine_k") / (F.col("fine_k") + prior_rows)
+    mean = [(near * F.col(f"fine_{side}_{m}") + (1 - near) * F.col(f"wide_{side}_{m}")).alias(f"{side}_{m}") for m in MEASURES for side in ("low", "high")]
+    return fine.join(wide, ["lang_group", "script"]).select("lang_group", "script", "octave", *mean)
+
+
+def fertility_rules(docs: DataFrame, spread: float = 3.0, prior_rows: float = 30, min_words: int = 20, window: int = 8, repeat_percent: int = 30, model: str | None = None, store: Store | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): the counts, the measures and the verdict ``kept``.
 
     The measures of a short text scatter more and its entropy is higher, so a band is that of the documents of like
     length (the same power of two of words) in the language and script, all of them that pass the base rules. It
     reaches ``spread`` times the quartile distance below the first and above the third quartile, and a little beyond
-    them at least, so that a uniform group rejects nothing. Where fewer than ``least_rows`` documents are of like
-    length, the band of the whole language and script serves, with twice the spread and a wide least margin.
-    A null language is a group of its own. Null and empty texts have no words and fail the base rules, as do
-    documents under ``min_words`` words and those with over ``repeat_percent`` percent of repeated words. Rows that
-    repeat a doc_id are judged each; ties cannot arise; an empty table gives an empty result. Other columns are not
-    read.
+    them at least, so that a uniform group rejects nothing. The wide band is that of the whole language and script, with
+    twice the spread and a wide least margin; a band is the mean of both, where the wide one weighs as ``prior_rows``
+    documents of like length. A null language is a group of its own. Null and empty texts have no words and fail the
+    base rules, as do documents under ``min_words`` words and those with over ``repeat_percent`` percent of repeated
+    words. Rows that repeat a doc_id are judged each; ties cannot arise; an empty table gives an empty result. Other
+    columns are not read. Texts of any length are measured whole, one at a time, by their words and the hashes of their
+    windows. The bands are broadcast if they are small, which they are for any sane number of languages.
     """
+    store = store or Store(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    rows = table(src.mapInArrow(lambda it: measure(it, model, min_words, window, repeat_percent), SCHEMA), "quality")
+    rows = store.table(src.mapInArrow(lambda it: measure(it, model, min_words, window, repeat_percent), SCHEMA), "quality")
     rows = rows.withColumns({"lang_group": F.struct(F.col("lang").isNull().alias("none"), F.coalesce("lang", F.lit("")).alias("name")), "octave": F.floor(F.log2(F.greatest("n_words", F.lit(1))))})
-    passed = rows.filter("not base_failed")
-    fine = bands(passed, ["lang_group", "script", "octave"], spread, {"chars_per_token": 0.02, "byte_share": 0.02, "token_entropy": 0.01}, "", least_rows)
-    wide = bands(passed, ["lang_group", "script"], 2 * spread, {"chars_per_token": 0.5, "byte_share": 0.05, "token_entropy": 0.15}, "wide_", 1)
-    judged = rows.join(fine, ["lang_group", "script", "octave"], "left").join(wide, ["lang_group", "script"], "left")
-    inside, limits = F.lit(True), []
+    found = store.table(limits(rows.filter("not base_failed"), spread, prior_rows), "bands")
+    judged = rows.join(small(found, F.length("lang_group.name") + 96), ["lang_group", "script", "octave"], "left")
+    inside = F.lit(True)
     for m in MEASURES:
-        low, high = (F.coalesce(f"{side}_{m}", f"wide_{side}_{m}") for side in ("low", "high"))
-        inside &= F.col(m).between(low, high)
-        limits += [low.alias(f"low_{m}"), high.alias(f"high_{m}")]
+        inside &= F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}"))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return judged.select(*(f.split()[0] for f in SCHEMA.split(", ")), *limits, kept.alias("kept"))
+    return judged.select(*(f.split()[0] for f in SCHEMA.split(", ")), *(f"{side}_{m}" for m in MEASURES for side in ("low", "high")), kept.alias("kept"))

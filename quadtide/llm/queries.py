@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, html_extract, jaccard, line_dedup, mixing, packing, quality, token_counts, topk, toxicity
+from ._store import Store
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +56,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(read(spark, sf_dir, "documents"))
 
 
-def lexicon(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
+def lexicon(spark: SparkSession, sf_dir: str, store: Store | None = None) -> toxicity.Lexicon:
+    """What the labels of sf_dir teach; its tables are deleted again, since the lexicon is on the driver."""
+    own = store or Store(spark)
     labels = read(spark, sf_dir, "labels").filter(~toxicity.held_out(F.col("doc_id")))
-    return toxicity.learn(read(spark, sf_dir, "documents"), labels)
+    learnt = toxicity.learn(read(spark, sf_dir, "documents"), labels, store=own)
+    if not store:
+        own.delete()
+    return learnt
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

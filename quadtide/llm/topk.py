@@ -1,13 +1,15 @@
 """Exact top-k search by inner product with a KD-tree per shard.
 
-Vectors are dealt to shards by a hash. A shard's tree splits at the median of the widest dimension down to leaves
-with tight bounding boxes. A query visits leaves best-first, by the largest inner product that a box allows, and stops
-at the first box that cannot reach its k-th best score. Each block of queries first searches one shard; the k-th scores
-found there go with it to the others.
+Vectors are dealt to shards by a hash. A shard's tree splits at the median of the widest dimension down to its leaves, and
+every node, inner ones too, has its tight bounding box. A query walks a tree best-first: of the nodes that it has seen
+it opens the one whose box allows the largest inner product, and it stops when that is below its k-th best score, which
+leaves whole subtrees unseen. Shards are searched in rounds, of one, three, twelve shards and so on; the k-th scores of
+all shards so far go with the queries to the next round.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -15,24 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import table
+from ._store import Store
 
 LEAF = 128
-
-
-def build(vectors: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """Row order by leaf and the leaves' starts."""
-    order, starts, todo = np.arange(len(vectors)), [], [(0, len(vectors))]
-    while todo:
-        s, e = todo.pop()
-        part = vectors[order[s:e]]
-        if e - s > leaf and (width := part.max(axis=0) - part.min(axis=0)).any():
-            mid = (e - s) // 2
-            order[s:e] = order[s:e][np.argpartition(part[:, int(width.argmax())], mid)]
-            todo += [(s + mid, e), (s, s + mid)]
-        else:
-            starts += range(s, e, leaf)  # equal vectors need no split, only bounded leaves
-    return order, np.array(sorted(starts), np.int64)
+#: The score that every other one is above.
+NONE = -(2**63)
+HITS = "query_id bigint, vec_id bigint, score bigint"
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,41 +35,59 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order, self.starts = build(vectors)
+    """Nodes in the order in which they were split; a leaf is a run of rows, an inner node has two children."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
+        order = np.arange(len(ids))
+        self.spans, self.children, low, high = [(0, len(ids))], [], [], []
+        at = 0
+        while at < len(self.spans):
+            s, e = self.spans[at]
+            part = vectors[order[s:e]]
+            low.append(part.min(axis=0))
+            high.append(part.max(axis=0))
+            self.children.append(())
+            if e - s > leaf:
+                mid, width = (e - s) // 2, high[-1] - low[-1]
+                if width.any():  # equal vectors need no order, only bounded leaves
+                    order[s:e] = order[s:e][np.argpartition(part[:, int(width.argmax())], mid)]
+                self.children[at] = (len(self.spans), len(self.spans) + 1)
+                self.spans += [(s, s + mid), (s + mid, e)]
+            at += 1
         self.ids, self.vectors = ids[order], vectors[order]
-        self.ends = np.append(self.starts[1:], len(ids))
-        self.low = np.minimum.reduceat(self.vectors, self.starts, axis=0)
-        self.high = np.maximum.reduceat(self.vectors, self.starts, axis=0)
-        self.first_id = np.minimum.reduceat(self.ids, self.starts)
-
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        return product(np.maximum(queries, 0), self.high) + product(np.minimum(queries, 0), self.low)
+        self.low, self.high = np.stack(low), np.stack(high)
 
     def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray):
         """For each query the (scores, ids) that may be among its k best; kth: scores that k others have already."""
-        bounds = self.bounds(queries)
-        visit = np.argsort(-bounds, axis=1, kind="stable")
-        best: list[list] = [[np.zeros(0, np.int64)] * 2 for _ in q_ids]
-        limit, active = kth.copy(), np.arange(len(q_ids))
-        for step in range(len(self.starts)):
-            active = active[bounds[active, visit[active, step]] >= limit[active]]
-            if not len(active):
-                break
-            leaves = visit[active, step]
-            for leaf in np.unique(leaves):  # queries that are at the same leaf are scored together
-                who = active[leaves == leaf]
-                s, e = self.starts[leaf], self.ends[leaf]
-                scores, ids = product(queries[who], self.vectors[s:e]), self.ids[s:e]
-                for row, q in enumerate(who):
-                    use = (scores[row] >= limit[q]) & (ids != q_ids[q])
-                    if not use.any():
-                        continue
-                    v, i = np.concatenate([best[q][0], scores[row][use]]), np.concatenate([best[q][1], ids[use]])
+        bounds = product(np.maximum(queries, 0), self.high) + product(np.minimum(queries, 0), self.low)
+        limit = kth.copy()
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]
+        open_ = [[(-int(b), 0)] for b in bounds[:, 0]]
+        active = list(range(len(q_ids)))
+        while active:
+            at_leaf: dict[int, list[int]] = {}
+            for q in active:
+                heap, own, least = open_[q], bounds[q], int(limit[q])
+                while heap and -heap[0][0] >= least:
+                    _, node = heapq.heappop(heap)
+                    if not (below := self.children[node]):
+                        at_leaf.setdefault(node, []).append(q)
+                        break
+                    for child in below:
+                        if (b := int(own[child])) >= least:
+                            heapq.heappush(heap, (-b, child))
+            for leaf, who in at_leaf.items():  # queries that are at the same leaf are scored together
+                s, e = self.spans[leaf]
+                scores, ids, who_at = product(queries[who], self.vectors[s:e]), self.ids[s:e], np.array(who)
+                use = (scores >= limit[who_at][:, None]) & (ids[None, :] != q_ids[who_at][:, None])
+                for row in np.flatnonzero(use.any(axis=1)):
+                    q, found = who[row], use[row]
+                    v, i = np.concatenate([best[q][0], scores[row][found]]), np.concatenate([best[q][1], ids[found]])
                     top = np.lexsort((i, -v))[:k]
-                    best[q] = [v[top], i[top]]
+                    best[q] = (v[top], i[top])
                     if len(top) == k:
                         limit[q] = max(limit[q], v[top[-1]])
+            active = [q for who in at_leaf.values() for q in who]
         return best
 
 
@@ -93,65 +101,70 @@ def pack(batches):
 
 
 def search(batches, k: int):
-    """Batches of (shard ids, shard matrix, query ids, query matrix, kth): the candidates of each query."""
+    """Batches of (shard ids, shard matrix, query ids, query matrix, queries and their kth): the candidates of each query."""
     held, tree = None, None
     for batch in batches:
         for s_ids, s_m, q_ids, q_m, kth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             ids, q = np.frombuffer(s_ids, np.int64), np.frombuffer(q_ids, np.int64)
             if held != s_ids:
                 held, tree = s_ids, Tree(ids, np.frombuffer(s_m, np.int64).reshape(len(ids), -1))
-            limit = np.frombuffer(kth, np.int64) if kth else np.full(len(q), -(2**63))
+            known = {x["q"]: x["s"] for x in kth or ()}
+            limit = np.array([known.get(i, NONE) for i in q.tolist()], np.int64)
             best = tree.search(q, np.frombuffer(q_m, np.int64).reshape(len(q), -1), k, limit)
             n = [len(b[0]) for b in best]
             if sum(n):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))], ["query_id", "vec_id", "score"])
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, shard_rows: int = 4096, block_rows: int = 512) -> DataFrame:
+def rounds(shards: int) -> list[tuple[int, int]]:
+    """Which places of a block's order of shards each round searches: 1, 3, 12, 48 ... of them."""
+    ends = [0, 1]
+    while ends[-1] < shards:
+        ends.append(min(shards, 4 * ends[-1]))
+    return [(a, b) for a, b in zip(ends, ends[1:], strict=False) if a < shards]
+
+
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, shard_rows: int = 4096, block_rows: int = 512, store: Store | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``vectors`` (vec_id, embedding) with the highest inner products.
 
     Components are floor(scale * x). Queries are the rows whose vec_id ``every`` divides; a query is no candidate of
     its own. Ties go to the smaller vec_id. Rows with a null id, a null or empty vector, or one with a null or
-    non-finite component take no part, and vectors are compared with
-    those of their own length only. Rows that repeat an id are candidates each, and a query once
-    by its least vector. An empty table gives an empty result. Other columns are not read.
+    non-finite component take no part, and vectors are compared with those of their own length only (a long vector is
+    one like any other). Rows that repeat an id are candidates each; as queries, those of one id and length serve once, by
+    the least of their vectors. An empty table gives an empty result. Other columns are not read.
     """
+    store = store or Store(vectors.sparkSession)
     x = F.col("embedding")
     good = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & (F.abs(e.cast("double")) < float("inf")))
     rows = vectors.filter(good).select(F.col("vec_id").cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
-    rows = table(rows.withColumn("w", F.size("v")), "vectors")
+    rows = store.table(rows.withColumn("w", F.size("v")), "vectors")
     sizes = rows.groupBy("w").agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).collect()  # a row a vector length
-    spark, out = vectors.sparkSession, None
+    out = vectors.sparkSession.createDataFrame([], HITS)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     for r in sizes:
-        shards, blocks = max(1, math.ceil(r["n"] / shard_rows)), max(1, math.ceil(r["q"] / block_rows))
+        if not r["q"]:
+            continue
+        shards, blocks = math.ceil(r["n"] / shard_rows), math.ceil(r["q"] / block_rows)
         own = rows.filter(F.col("w") == r["w"])
-        tree = own.withColumn("g", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
-        packed = table(tree.select("g", "id", "v").repartition(shards, "g").sortWithinPartitions("g").mapInArrow(pack, "g int, ids binary, m binary, n bigint"), "shards")
+        packed = "g int, ids binary, m binary, n bigint"
+        tree = own.withColumn("g", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(shards)).cast("int"))
+        trees = store.table(tree.select("g", "id", "v").repartition(shards, "g").sortWithinPartitions("g").mapInArrow(pack, packed), "shards")
         asked = own.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("g", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int"))
-        asked = table(asked.select("g", "id", "v").repartition(blocks, "g").sortWithinPartitions("g").mapInArrow(pack, "g int, ids binary, m binary, n bigint"), "queries").toDF("b", "q_ids", "q_m", "q_n")
-        found = "query_id bigint, vec_id bigint, score bigint"
-        # one shard a block first
-        seeded = asked.withColumn("g", F.pmod(F.col("b"), F.lit(shards)))
-        one = table(packed.join(seeded, "g").select("b", "ids", "m", "q_ids", "q_m").repartition(blocks, "b").mapInArrow(lambda it: seed(it, k), "b int, kth binary, hits array<struct<query_id:bigint,vec_id:bigint,score:bigint>>"), "seeds")
-        rest = asked.join(one.select("b", "kth"), "b", "left").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(F.col("g") != F.pmod(F.col("b"), F.lit(shards)))
-        more = packed.join(rest, "g").select("ids", "m", "q_ids", "q_m", "kth").mapInArrow(lambda it: search(it, k), found)
-        hits = one.select(F.inline("hits")).unionAll(more)
-        out = hits if out is None else out.unionAll(hits)
-    if out is None:
-        out = spark.createDataFrame([], "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def seed(batches, k: int):
-    """Like :func:`search` for a block's first shard, one row a block with the k-th scores found."""
-    for batch in batches:
-        for b, s_ids, s_m, q_ids, q_m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids, q = np.frombuffer(s_ids, np.int64), np.frombuffer(q_ids, np.int64)
-            best = Tree(ids, np.frombuffer(s_m, np.int64).reshape(len(ids), -1)).search(q, np.frombuffer(q_m, np.int64).reshape(len(q), -1), k, np.full(len(q), -(2**63)))
-            kth = np.array([v[-1] if len(v) == k else -(2**63) for v, _ in best], np.int64)
-            hits = [{"query_id": int(q[n]), "vec_id": int(i), "score": int(s)} for n, (v, ids_) in enumerate(best) for s, i in zip(v, ids_, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([kth.tobytes()]), pa.array([hits], pa.list_(pa.struct([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])))], ["b", "kth", "hits"])
+        asked = store.table(asked.select("g", "id", "v").repartition(blocks, "g").sortWithinPartitions("g").mapInArrow(pack, packed), "queries").toDF("b", "q_ids", "q_m", "q_n")
+        hits = None
+        for start, end in rounds(shards):
+            place = F.explode(F.sequence(F.lit(start), F.lit(end - 1)))
+            work = asked.withColumn("g", F.pmod(F.col("b") + place, F.lit(shards)))
+            if hits is None:
+                work = work.withColumn("kth", F.lit(None).cast("array<struct<q:bigint,s:bigint>>"))
+            else:
+                reached = hits.filter(F.col("rank") == k).select(F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(blocks)).cast("int").alias("b"), F.struct(F.col("query_id").alias("q"), F.col("score").alias("s")).alias("x"))
+                work = work.join(reached.groupBy("b").agg(F.collect_list("x").alias("kth")), "b", "left")  # a block's queries
+            found = trees.join(work, "g").select("ids", "m", "q_ids", "q_m", "kth").mapInArrow(lambda it: search(it, k), HITS)
+            both = found if hits is None else found.unionByName(hits.drop("rank"))
+            hits = store.table(both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "hits")
+        out = out.unionByName(hits.drop("rank"))
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def sql(embeddings: str = "embeddings", k: int = 20, every: int = 20, scale: int = 64) -> str:
@@ -159,7 +172,8 @@ def sql(embeddings: str = "embeddings", k: int = 20, every: int = 20, scale: int
     return f"""
     WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM {embeddings}
         WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    a AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % {every} = 0 GROUP BY vec_id, len(v)),
     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-        FROM v q JOIN v c ON q.vec_id % {every} = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+        FROM a q JOIN v c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""

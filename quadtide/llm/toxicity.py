@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._store import fresh, table
+from ._store import Store, fresh
 from ._text import words
 
 # Letters of other scripts that look like Latin ones, and what each stands for.
@@ -119,14 +119,29 @@ def sample_features(batches, least: int, most: int):
 
 
 def sketches(batches):
-    """Two MinHash values of the 5-word shingles of each text, to tell copies in the sample."""
-    from .jaccard import multipliers, shingles, signature, word_hashes
+    """Arrow batches with the text last: the text becomes the MinHash signature of its 5-word shingles."""
+    from .jaccard import BANDS, ROWS, multipliers, shingles, signature, word_hashes
 
-    cache, mult = word_hashes(), multipliers(2)
+    cache, mult = word_hashes(), multipliers(BANDS * ROWS)
     for batch in batches:
-        both = [signature(shingles(t, 5, cache), mult).astype(np.int64) for t in batch.column(batch.num_columns - 1).to_pylist()]
-        cols = [pa.array([int(b[k]) for b in both], pa.int64()) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "m0", "m1"])
+        sigs = [signature(shingles(t, 5, cache), mult).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sigs, pa.binary())], [*batch.schema.names[:-1], "sig"])
+
+
+def without_copies(sigs: np.ndarray, alike: float = 0.8) -> list[int]:
+    """The rows, in order, that share less than ``alike`` of their MinHash values with every row kept before them. Rows that
+    share none of the 24 bands count as less alike."""
+    from .jaccard import band_keys
+
+    keys, kept, held = band_keys(sigs).tolist(), [], {}
+    for i, own in enumerate(keys):
+        near = sorted({j for band, key in enumerate(own) for j in held.get((band, key), ())})
+        if near and ((sigs[near] == sigs[i]).mean(axis=1) >= alike).any():
+            continue
+        kept.append(i)
+        for band, key in enumerate(own):
+            held.setdefault((band, key), []).append(i)
+    return kept
 
 
 def choose(found: list[tuple[str, int, int]], n_pos: int, n_neg: int, keep: float = 0.8) -> dict[str, float]:
@@ -151,36 +166,48 @@ def choose(found: list[tuple[str, int, int]], n_pos: int, n_neg: int, keep: floa
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least: int = 3, most: int = 12, min_texts: int = 4, min_share: float = 0.01, min_ratio: float = 50, max_patterns: int = 5000) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least: int = 3, most: int = 12, min_texts: int = 4, min_share: float = 0.01, min_ratio: float = 50, max_patterns: int = 5000, store: Store | None = None) -> Lexicon:
     """Learn a lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
-    At most ``per_class`` labelled documents of each class serve, those with the least hashes of their ids; copies
-    among them count once. A pattern needs ``min_texts`` toxic texts, ``min_share`` of them, and at least ``min_ratio``
-    times the rate of the others; the ``max_patterns`` heaviest are kept. Without toxic labels the lexicon is empty.
+    At most ``per_class`` labelled documents of each class serve, those with the least hashes of their ids; of near
+    copies among them (see :func:`without_copies`) that with the least doc_id. A pattern needs ``min_texts`` toxic texts,
+    ``min_share`` of them, and at least ``min_ratio`` times the rate of the others; the ``max_patterns`` heaviest are the
+    lexicon, whose size that bounds. Without toxic labels the lexicon is empty. An id labelled both ways is toxic; null ids and
+    labels are passed over; of several texts of one id that with the least hash serves, so the sample has at most
+    ``2 * per_class`` rows whatever repeats. Null texts have no words, long ones serve whole. Tables with the same rows
+    give the same lexicon, however they are partitioned. Other columns are not read.
     """
+    store = store or Store(docs.sparkSession)
     marked = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     key = F.xxhash64("doc_id", F.lit("sample"))
     picked = None
     for c in (0, 1):
         part = marked.filter(F.col("toxic") == c).orderBy(key, "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionAll(part)
-    picked = table(picked, "sample")  # at most 2 * per_class rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text")
-    sketched = table(texts.mapInArrow(sketches, "toxic int, text string, m0 bigint, m1 bigint"), "sample")
-    single = table(sketched.dropDuplicates(["toxic", "m0"]).dropDuplicates(["toxic", "m1"]).select("toxic", "text"), "sample")
-    totals = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
+    picked = store.table(picked, "picked")  # at most 2 * per_class rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("hash", F.xxhash64("text"))
+    texts = store.table(texts.groupBy("doc_id", "toxic").agg(F.min(F.struct("hash", "text"))["text"].alias("text")), "sample")
+    signed = texts.mapInArrow(sketches, "doc_id bigint, toxic int, sig binary").orderBy("doc_id").collect()  # at most 2 * per_class rows
+    ids = []
+    for c in (0, 1):
+        own = [r for r in signed if r["toxic"] == c]
+        ids += [own[i]["doc_id"] for i in without_copies(np.stack([np.frombuffer(r["sig"], np.uint32) for r in own]))] if own else []
+    kept = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    single = texts.join(F.broadcast(kept), "doc_id")
+    classes = {r["doc_id"]: r["toxic"] for r in signed}
+    n_pos = sum(classes[i] for i in ids)
+    n_neg = len(ids) - n_pos
     if not n_pos:
         return Lexicon(bias=-3.0)
-    counted = single.mapInArrow(lambda it: sample_features(it, least, most), "pattern string, pos bigint, neg bigint").groupBy("pattern").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = single.select("toxic", "text").mapInArrow(lambda it: sample_features(it, least, most), "pattern string, pos bigint, neg bigint").groupBy("pattern").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     support = max(min_texts, min_share * n_pos)
     odds = (F.col("pos") + 0.5) / (n_pos + 1) >= min_ratio * F.col("neg") / (n_neg + 1)
     strong = counted.filter((F.col("pos") >= support) & odds).orderBy(F.desc("pos"), "neg", "pattern").limit(max_patterns * (most + 1))
     found = [(r["pattern"], r["pos"], r["neg"]) for r in strong.collect()]
     weights = dict(sorted(choose(found, n_pos, n_neg).items(), key=lambda x: (-x[1], x[0]))[:max_patterns])
     lexicon = Lexicon(weights)
-    seen = single.mapInArrow(lambda it: densities(it, lexicon), "toxic int, density double").collect()  # at most 2 * per_class rows
-    x, y = np.array([math.log1p(r["density"]) for r in seen]), np.array([r["toxic"] for r in seen])
+    seen = sorted(single.select("doc_id", "text").mapInArrow(lambda it: densities(it, lexicon), "doc_id bigint, density double").collect())  # at most 2 * per_class rows
+    x, y = np.array([math.log1p(r["density"]) for r in seen]), np.array([classes[r["doc_id"]] for r in seen])
     lexicon.slope, lexicon.bias = logistic(x, y)
     return lexicon
 
@@ -188,7 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 3000, least: int
 def densities(batches, lexicon: Lexicon):
     a = lexicon.automaton()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lexicon.density(a, t) for t in batch.column(1).to_pylist()], pa.float64())], ["toxic", "density"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lexicon.density(a, t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "density"])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> tuple[float, float]:
@@ -229,5 +256,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def reject(docs: DataFrame, lexicon: Lexicon, at: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (text, and whatever else) that score less than ``at``, with their columns as they are.
+
+    Null and empty texts score what no match scores and stay, unless ``at`` is below that. Rows are judged each, so those
+    that repeat stay or go together; an empty table gives an empty result."""
     (name,) = fresh(docs, "score")
     return score(docs, lexicon, name).filter(F.col(name) < at).select(*docs.columns)
