@@ -487,7 +487,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, salts: int
         side = small(made, room, broadcast_bytes)
         if side is made:
             src = src.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)))
-            joined = src.join(made.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint")), ["host", "salt"], "left")
+            joined = src.join(made.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))), ["host", "salt"], "left")
         else:
             joined = src.join(side, "host", "left")
     else:

@@ -153,8 +153,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, sha
         asked = store.table(asked.select("g", "id", "v").repartition(blocks, "g").sortWithinPartitions("g").mapInArrow(pack, packed), "queries").toDF("b", "q_ids", "q_m", "q_n")
         hits = None
         for start, end in rounds(shards):
-            place = F.explode(F.sequence(F.lit(start), F.lit(end - 1)))
-            work = asked.withColumn("g", F.pmod(F.col("b") + place, F.lit(shards)))
+            work = asked.withColumn("at", F.explode(F.sequence(F.lit(start), F.lit(end - 1))))
+            work = work.withColumn("g", F.pmod(F.col("b") + F.col("at"), F.lit(shards))).drop("at")
             if hits is None:
                 work = work.withColumn("kth", F.lit(None).cast("array<struct<q:bigint,s:bigint>>"))
             else:

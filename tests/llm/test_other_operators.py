@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -190,8 +190,9 @@ def test_pipeline_stages(spark):
         out = stage(spark, step, SF)
         if name != "packing":
             assert out.columns == names and out.dtypes == docs.dtypes
-            step, path = _store.hold(out, "test")
-            held.append(path)
+            store = _store.Store(spark)
+            step = store.table(out, "test")
+            held.append(store)
             rows = step.collect()
             assert all(r.n_chars == len(r.text) for r in rows)
         if name == "toxicity":
@@ -213,10 +214,15 @@ def test_pipeline_stages(spark):
 
             seq = out.collect()
             assert sum(r.length for r in seq) == sum(r.doc_tokens for r in seq if r.start == 0)
-            assert len({(r.sequence_id, r.offset) for r in seq}) == len(seq) and check_packing
+            assert len({(r.sequence_id, r.offset) for r in seq}) == len(seq)
+            taken = Counter((r.doc_id, r.text) for r in last)
+            assert sum(r.start == 0 for r in seq) == sum(taken.values())
+            once = [(i, x) for (i, x), n in taken.items() if n == 1]
+            alone = {i for i, _ in once}
+            check_packing([r for r in seq if r.doc_id in alone], once, whole=False)
         last = rows
-    for path in held:
-        _store.delete(spark, path)
+    for store in held:
+        store.delete()
 
 
 def test_pipeline_of_nothing(spark):
