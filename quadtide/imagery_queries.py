@@ -41,7 +41,7 @@ def r2_merge_bands(spark, d):
     return raster.merge_bands(bands)
 
 
-@query("SELECT img, tile, px * 8 + py AS id, round(CASE WHEN px = 7 THEN v ELSE 0.75 * v + 0.25 * w END, 6) AS value FROM (SELECT a.img, a.tile, a.px, a.py, a.v, b.v AS w FROM pixels a LEFT JOIN pixels b ON a.tile = b.tile AND a.img = b.img AND a.py = b.py AND b.px = a.px + 1)")
+@query("SELECT img, tile, px * 8 + py AS id, round(coalesce(0.75::DOUBLE * v + 0.25::DOUBLE * w, v), 6) AS value FROM (SELECT *, lead(v) OVER (PARTITION BY img, tile, py ORDER BY px) AS w FROM pixels)")
 def r3_bilinear(spark, d):
     pixels = domain.tile_pixels(spark, d)
     points = pixels.select("img", "tile", (F.col("px") * 8 + F.col("py")).alias("id"), (F.col("px") + 0.25).alias("u"), F.col("py").cast("double").alias("v"))

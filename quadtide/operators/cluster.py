@@ -23,6 +23,21 @@ def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return left.join(right, "cell").filter(d2 <= radius * radius).select("id", "other", F.sqrt(d2).alias("distance"))
 
 
+def nearest(a: DataFrame, b: DataFrame, radius: float, rings: int = 3) -> DataFrame:
+    """(id of a, id of the nearest b with another id, distance) at most ``radius`` apart; ties go to the least id.
+
+    Rings grow by four up to ``radius``: a point that has a neighbour within one is not looked for in the wider ones,
+    so that dense places never list all pairs of the widest.
+    """
+    rest, out = a, None
+    for k in range(rings - 1, -1, -1):
+        pairs = within(rest, b, radius / 4**k).filter("id <> other")
+        found = pairs.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("n")).select("id", "n.other", "n.distance")
+        out = found if out is None else out.unionAll(found)
+        rest = rest.join(found.select("id"), "id", "left_anti")
+    return out
+
+
 def grid_clusters(points: DataFrame, zoom: int, cell_pixels: int = 40, extent: int = 512) -> DataFrame:
     """Clusters by cell of the unit square at a zoom: one aggregation with partial sums, for any number of points."""
     size = cell_pixels / (extent * 2**zoom)

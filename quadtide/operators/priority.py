@@ -64,6 +64,15 @@ def spatial_join(a: DataFrame, b: DataFrame, size: float = 5.0) -> DataFrame:
     return left.join(right, "cell").filter(overlap & once).drop("cell")
 
 
+def touched(images: DataFrame, boxes: DataFrame, size: float = 5.0) -> DataFrame:
+    """The ``images`` (img, img_min_lon, ...) that overlap any of ``boxes``, once each: a semi join, which lists no pairs."""
+    left = images.withColumn("cell", grid_cells("img_min_lon", "img_min_lat", "img_max_lon", "img_max_lat", size))
+    sides = ["min_lon", "min_lat", "max_lon", "max_lat"]
+    right = boxes.select(*sides).distinct().withColumn("at", grid_cells(*sides, size))
+    overlap = (F.col("min_lon") < F.col("img_max_lon")) & (F.col("max_lon") > F.col("img_min_lon")) & (F.col("min_lat") < F.col("img_max_lat")) & (F.col("max_lat") > F.col("img_min_lat"))
+    return left.join(right, (F.col("cell") == F.col("at")) & overlap, "left_semi").drop("cell").distinct()
+
+
 def closest_rset(pairs: DataFrame) -> DataFrame:
     """The set whose tile area in degrees is closest to the overlap's; of equally close ones the finest."""
     w = F.least("max_lon", "img_max_lon") - F.greatest("min_lon", "img_min_lon")

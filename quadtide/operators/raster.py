@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,12 @@ def reduce_by_two(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("img", "tile", F.floor(F.col("px") / 2).alias("px"), F.floor(F.col("py") / 2).alias("py")).agg(F.avg("v").alias("v"))
 
 
+def ordered(objects: DataFrame) -> DataFrame:
+    """Every tile with its place, from 1, in the index order of its image."""
+    order = Window.partitionBy("img").orderBy("rset", "y", "x", "size")
+    return objects.withColumn("position", F.row_number().over(order).cast("long"))
+
+
 def offsets(objects: DataFrame) -> DataFrame:
     """Byte offset of every tile in its image's index file, tiles in index order."""
     order = Window.partitionBy("img").orderBy("rset", "y", "x", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -126,27 +134,33 @@ def resample(points: DataFrame, pixels: DataFrame, mode: str) -> DataFrame:
     return weighted.groupBy("img", "tile", "id").agg((F.sum(F.col("w") * F.col("value")) / total).alias("value"))
 
 
-def mosaic(views: DataFrame, layers: DataFrame, cols: int, rows: int, size: float = 5.0) -> DataFrame:
+def mosaic(views: DataFrame, layers: DataFrame, cols: int, rows: int, size: float = 4.0) -> DataFrame:
     """Which layer each cell of a view shows: (view, i, j, img), the lowest z whose box holds the cell's middle.
 
-    Views are (view, min_lon, min_lat, max_lon, max_lat), layers (img, z, img_min_lon, ...). Views and layers meet by a
-    grid join; a layer gives rows only for the cells it covers, and the least z is a plain aggregate. Cells that no layer
-    covers give no row; rows run from the south.
+    Views are (view, min_lon, min_lat, max_lon, max_lat), layers (img, z, img_min_lon, ...). Of equal boxes the lowest
+    counts. In each square of a grid the lowest layer that covers it whole hides all that are above it; what is left there
+    meets the middles in that square, so the work follows the cells asked for and not the depth of the stack. ``size``
+    is a power of two, by which the squares are exact. Cells that no layer covers give no row; rows run from the south.
     """
-    from .priority import spatial_join
-
-    met = spatial_join(views, layers, size)
-
-    def span(low: str, high: str, view_low: str, view_high: str, n: int) -> tuple[Column, Column]:
-        step = (F.col(view_high) - F.col(view_low)) / n
-        at = lambda c: F.ceil((F.col(c) - F.col(view_low)) / step - 0.5).cast("int")
-        return F.greatest(F.lit(0), at(low)), F.least(F.lit(n), at(high)) - 1
-
-    i0, i1 = span("img_min_lon", "img_max_lon", "min_lon", "max_lon", cols)
-    j0, j1 = span("img_min_lat", "img_max_lat", "min_lat", "max_lat", rows)
-    held = met.select("view", "img", "z", i0.alias("i0"), i1.alias("i1"), j0.alias("j0"), j1.alias("j1")).filter("i0 <= i1 AND j0 <= j1")
-    cells = held.withColumn("i", F.explode(F.sequence("i0", "i1"))).withColumn("j", F.explode(F.sequence("j0", "j1")))
-    return cells.groupBy("view", "i", "j").agg(F.min(F.struct("z", "img")).alias("top")).select("view", "i", "j", F.col("top.img").alias("img"))
+    from .priority import grid_cells
+
+    if math.frexp(size)[0] != 0.5:
+        raise ValueError("the grid's size is a power of two")
+    box = ["img_min_lon", "img_min_lat", "img_max_lon", "img_max_lat"]
+    west, south, east, north = map(F.col, box)
+    one = layers.groupBy(*box).agg(F.min(F.struct("z", "img")).alias("top"))
+    held = one.withColumn("square", grid_cells(*box, size))
+    x, y = F.col("square.cx") * size, F.col("square.cy") * size
+    whole = (west <= x) & (east >= x + size) & (south <= y) & (north >= y + size)
+    held = held.withColumn("whole", whole)
+    lowest = held.filter("whole").groupBy("square").agg(F.min("top").alias("floor"))
+    part = held.join(lowest, "square", "left").filter(F.col("floor").isNull() | (F.col("top") <= F.col("floor"))).select("square", "top", *box)
+    at = lambda low, high, k, n: F.col(low) + (F.col(k) + 0.5) * ((F.col(high) - F.col(low)) / n)
+    cells = views.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    middles = cells.select("view", "i", "j", at("min_lon", "max_lon", "i", cols).alias("x"), at("min_lat", "max_lat", "j", rows).alias("y"))
+    middles = middles.withColumn("square", F.struct(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")))
+    inside = (F.col("x") >= west) & (F.col("x") < east) & (F.col("y") >= south) & (F.col("y") < north)
+    return middles.join(part, "square").filter(inside).groupBy("view", "i", "j").agg(F.min("top").alias("top")).select("view", "i", "j", F.col("top.img").alias("img"))
 
 
 def finest(requests: DataFrame, stored: DataFrame, max_rset: int) -> DataFrame:

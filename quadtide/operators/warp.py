@@ -104,12 +104,9 @@ def ground_distance(a: tuple, b: tuple) -> np.ndarray:
     return np.linalg.norm(centre(*a) - centre(*b), axis=0)
 
 
-def _angle(dx: float, dy: float) -> float:
-    r = float(np.hypot(dx, dy))
-    if r < 1e-10:
-        return 0.0
-    theta = float(np.degrees(np.arccos(dy / r)))
-    return 180.0 + theta if dx > 0 else 180.0 - theta
+def _from_up(dx: float, dy: float) -> float:
+    """Degrees counter-clockwise from the top of the image (lines grow downward); 0 at the nadir, where nothing moves."""
+    return float(np.degrees(np.arctan2(-dx, -dy)) % 360) if max(abs(dx), abs(dy)) > 1e-9 else 0.0
 
 
 def orientation(model: dict, lon: float, lat: float, h: float) -> tuple[float, float]:
@@ -117,7 +114,7 @@ def orientation(model: dict, lon: float, lat: float, h: float) -> tuple[float, f
     at = lambda a, b, c: np.array(camera.project(model, np.array([a]), np.array([b]), np.array([c])))[:, 0]
     base = at(lon, lat, h)
     up, north = at(lon, lat, h + 1000.0) - base, at(lon, lat + 0.01, h) - base
-    return _angle(*up), _angle(*north)
+    return _from_up(*up), _from_up(*north)
 
 
 def measures(model: dict, width: int, height: int, h: float) -> dict[str, float]:

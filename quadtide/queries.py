@@ -133,9 +133,9 @@ def o2_capped_search(spark, d):
     return warehouse.search_summaries(_summaries(spark, d))
 
 
-@query("SELECT img, rset, x, y, size FROM objects ORDER BY img, rset, y, x, size LIMIT 100")
+@query("SELECT *, row_number() OVER (PARTITION BY img ORDER BY rset, y, x, size)::BIGINT AS position FROM objects")
 def o1_tile_order(spark, d):
-    return domain.tile_objects(spark, d).orderBy("img", "rset", "y", "x", "size").limit(100)
+    return raster.ordered(domain.tile_objects(spark, d))
 
 
 @query("SELECT DISTINCT usr AS \"user\" FROM summaries WHERE usr <> 'global' AND usr NOT IN (SELECT 'u' || (c_custkey % 33) FROM customer)")
@@ -154,7 +154,7 @@ def k1_upsert_latest(spark, d):
 @query(f"SELECT img, collected FROM images WHERE collected >= {10 * domain.DAY_MS} AND collected <= {40 * domain.DAY_MS} AND lon0 + 0.16384 >= -100 AND lon0 <= 120 AND lat0 >= -50 AND lat0 - 0.16384 <= 50")
 def s8_catalog_search(spark, d):
     images = domain.images(spark, d).withColumns({"min_lon": F.col("lon0"), "max_lon": F.col("lon0") + 0.16384, "max_lat": F.col("lat0"), "min_lat": F.col("lat0") - 0.16384})
-    return warehouse.catalog_search(images, 10 * domain.DAY_MS, 40 * domain.DAY_MS, "-100,-50,120,50").select("img", "collected")
+    return warehouse.catalog_search(images, 10 * domain.DAY_MS, 40 * domain.DAY_MS, "-100,-50,120,50", limit=None).select("img", "collected")
 
 
 _TILES = "tiles AS (SELECT img, rset, x, y, lon0, lat0, width, height FROM images, range(0, 5) AS r(rset), range(0, 16) AS a(x), range(0, 16) AS b(y) WHERE x < ceil(floor(width / 2 ** rset) / 512) AND y < ceil(floor(height / 2 ** rset) / 512))"
@@ -201,7 +201,7 @@ def j3_areas_on_images(spark, d):
 
 @query(f"SELECT * FROM (WITH {_AREAS} SELECT DISTINCT img FROM bx JOIN images ON w < lon0 + 0.16384 AND e > lon0 AND s < lat0 AND nn > lat0 - 0.16384)")
 def j4_images_wanted(spark, d):
-    return _pairs(spark, d).select("img").distinct()
+    return priority.touched(priority.footprints(domain.images(spark, d)), priority.areas(_summaries(spark, d))).select("img")
 
 
 @query()
@@ -276,8 +276,7 @@ def j9_points_within(spark, d):
 @query("SELECT id, other FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY (a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2, b.id) AS r FROM points a JOIN points b ON a.id <> b.id AND (a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2 <= 400) WHERE r = 1")
 def j16_nearest_point(spark, d):
     p = domain.points(spark, d).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    near = cluster.within(p, p, 20.0).filter("id <> other")
-    return near.groupBy("id").agg(F.min(F.struct("distance", "other"))["other"].alias("other"))
+    return cluster.nearest(p, p, 20.0).select("id", "other")
 
 
 @query("SELECT doc_id, 'en' = lang OR 'src1' = source AS visible FROM documents")

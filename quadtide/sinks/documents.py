@@ -30,7 +30,8 @@ def catalog_documents(images: DataFrame, server: str) -> DataFrame:
 def telemetry_batches(lines: DataFrame, stream: str, order: str, line: str) -> DataFrame:
     """Encoded lines with the number of their batch of at most 500, counted within each stream."""
     at = F.row_number().over(Window.partitionBy(stream).orderBy(order)) - 1
-    return lines.select(stream, order, F.floor(at / keys.LINES_PER_BATCH).alias("batch"), keys.telemetry_line(F.col(line)).alias("data"))
+    cut = lines.select(stream, order, keys.telemetry_line(F.col(line)).alias("data"))  # what is shuffled is cut already
+    return cut.select(stream, order, F.floor(at / keys.LINES_PER_BATCH).alias("batch"), "data")
 
 
 def placemarks(boxes: DataFrame, group: str, name: str) -> DataFrame:
