@@ -106,6 +106,44 @@ def slippy(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     return F.greatest(F.lit(0), F.least(x, F.lit(n - 1))), F.greatest(F.lit(0), F.least(y, F.lit(n - 1)))
 
 
+def slippy_corner(x: Column, y: Column, zoom: int) -> tuple[Column, Column]:
+    """(lon, lat) of the north-west corner of a map tile."""
+    n = 2**zoom
+    return x / n * 360 - 180, F.degrees(F.atan(F.sinh(F.lit(3.141592653589793) * (1 - 2 * y / n))))
+
+
+def slippy_valid(x: Column, y: Column, zoom: int) -> Column:
+    return x.between(0, 2**zoom - 1) & y.between(0, 2**zoom - 1)
+
+
+def slippy_neighbours(x: Column, y: Column, zoom: int) -> Column:
+    """Array of the up to eight map tiles around one; those off the map are left out."""
+    around = F.array(*(F.struct((x + i).alias("x"), (y + j).alias("y")) for j in (-1, 0, 1) for i in (-1, 0, 1) if i or j))
+    return F.filter(around, lambda t: slippy_valid(t["x"], t["y"], zoom))
+
+
+def slippy_children(x: Column, y: Column) -> Column:
+    """Array of the four map tiles one zoom deeper."""
+    return F.array(*(F.struct((x * 2 + i).alias("x"), (y * 2 + j).alias("y")) for j in (0, 1) for i in (0, 1)))
+
+
+def viewport_tiles(west: Column, south: Column, east: Column, north: Column, zoom: int) -> Column:
+    """Array of the map tiles that a box meets, edges that only touch included."""
+    n = 2**zoom
+
+    def along(low: Column, high: Column) -> Column:
+        first, last = (F.greatest(F.lit(0), F.least(F.lit(n - 1), c)).cast("long") for c in (F.ceil(low * n) - 1, F.floor(high * n)))
+        return F.sequence(first, last)
+
+    rows = along(mercator_y(north), mercator_y(south))
+    return F.flatten(F.transform(along(mercator_x(west), mercator_x(east)), lambda x: F.transform(rows, lambda y: F.struct(x.alias("x"), y.alias("y")))))
+
+
+def angle_off_north(ul_lon: Column, ul_lat: Column, ll_lon: Column, ll_lat: Column) -> Column:
+    """Signed angle in radians from north to the way from a footprint's upper left to its lower left corner."""
+    return F.atan2(ul_lon - ll_lon, ll_lat - ul_lat)
+
+
 def map_gsd(lat: Column, zoom: Column) -> Column:
     """Metres per pixel of a 256-pixel web map."""
     return F.lit(EARTH_CIRCUMFERENCE_M / 256) * F.cos(F.radians(lat)) / F.pow(F.lit(2.0), zoom)

@@ -37,6 +37,18 @@ def children(rset: Column, x: Column, y: Column) -> Column:
     return F.when(rset > 0, four).otherwise(F.filter(four, lambda t: F.lit(False)))
 
 
+def border(width: Column, height: Column, rset: Column, x: Column, y: Column, dx: int, dy: int, tile: int = 512) -> Column:
+    """The tile dx columns and dy rows away in the same set; null outside the grid."""
+    columns, rows = dims(width, height, rset, tile)
+    inside = (x + dx >= 0) & (x + dx < columns) & (y + dy >= 0) & (y + dy < rows)
+    return F.when(inside, F.struct(rset.alias("rset"), (x + dx).alias("x"), (y + dy).alias("y")))
+
+
+def part_offset(part: Column, tiles_per_part: Column, rset: Column) -> Column:
+    """First tile row (or column) in a resolution set of the part at a row (or column) of a multi-part image, from 0."""
+    return F.floor(part * tiles_per_part / F.pow(F.lit(2), rset))
+
+
 def rect(width: Column, height: Column, rset: Column, x: Column, y: Column, tile: int = 512) -> tuple[Column, Column, Column, Column]:
     """(min x, min y, max x, max y) in full-resolution pixels, clipped to the image."""
     size = F.pow(F.lit(2), rset) * tile

@@ -94,3 +94,13 @@ def prefetch(pairs: DataFrame) -> DataFrame:
     x = F.explode(F.sequence(lo(west), F.least(lo(east), cols - 1)))
     y = F.explode(F.sequence(lo(north), F.least(lo(south), rws - 1)))
     return rows.withColumn("x", x).withColumn("y", y).select("user", "img", "rset", "x", "y").distinct()
+
+
+def scored(tile_refs: DataFrame) -> DataFrame:
+    """Tiles of a prefetch list as scored tiles; each counts 1."""
+    return tile_refs.withColumn("score", F.lit(1))
+
+
+def named(rows: DataFrame, user: str = "user") -> DataFrame:
+    """Rows of users who are known: anonymous ones, in any case of letters, and null get no list."""
+    return rows.filter(F.lower(user) != "anonymous")

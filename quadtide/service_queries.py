@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions import keys, layout
+from .functions import geo, keys, layout, tiles
 from .operators import cluster, controls
 from .plans import domain
 from .plans.domain import read
@@ -167,3 +167,46 @@ def x8_tiered_lookup(spark, d):
     tier = lambda status, name: read(spark, d, "orders").filter(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("k")).distinct().withColumn(name, F.lit(name))
     asked = read(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     return asked.join(tier("P", "near"), "k", "left").join(tier("F", "far"), "k", "left").select("k", F.coalesce("near", "far", F.lit("miss")).alias("v"))
+
+
+_SLIPPY = "least(greatest(floor((lon + 180) / 360 * 1024), 0), 1023)::BIGINT AS x, least(greatest(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 1024), 0), 1023)::BIGINT AS y"
+
+
+@query(f"""SELECT id, x, y, round(x / 1024 * 360 - 180, 9) AS west, round(degrees(atan(sinh(pi() * (1 - 2 * y / 1024)))), 9) AS north,
+    (CASE WHEN x IN (0, 1023) THEN 2 ELSE 3 END) * (CASE WHEN y IN (0, 1023) THEN 2 ELSE 3 END) - 1 AS neighbours, 4 * (x + y) * 2 + 4 AS child_sum FROM (SELECT id, {_SLIPPY} FROM points)""")
+def f18_tile_corners(spark, d):
+    x, y = geo.slippy(F.col("lon"), F.col("lat"), 10)
+    at = domain.points(spark, d).select("id", x.cast("long").alias("x"), y.cast("long").alias("y"))
+    west, north = geo.slippy_corner(F.col("x"), F.col("y"), 10)
+    child_sum = F.aggregate(geo.slippy_children(F.col("x"), F.col("y")), F.lit(0).cast("long"), lambda acc, t: acc + t["x"] + t["y"])
+    around = F.size(geo.slippy_neighbours(F.col("x"), F.col("y"), 10))
+    return at.select("id", "x", "y", F.round(west, 9).alias("west"), F.round(north, 9).alias("north"), around.alias("neighbours"), child_sum.alias("child_sum"))
+
+
+def _mercator_y_sql(lat: str) -> str:
+    return f"least(1, greatest(0, 0.5 - 0.25 * ln((1 + sin(radians({lat}))) / (1 - sin(radians({lat})))) / pi()))"
+
+
+@query(f"""SELECT id, x, y FROM (SELECT id, greatest(0, (lon - 3.3 + 180) / 360) AS w, least(1, (lon + 3.3 + 180) / 360) AS e, {_mercator_y_sql('(lat + 2.2)')} AS n, {_mercator_y_sql('(lat - 2.2)')} AS s FROM points) b, range(0, 64) AS c(x), range(0, 64) AS r(y) WHERE x <= e * 64 AND x + 1 >= w * 64 AND y <= s * 64 AND y + 1 >= n * 64""")
+def u6_viewport_tiles(spark, d):
+    lon, lat = F.col("lon"), F.col("lat")
+    met = geo.viewport_tiles(lon - 3.3, lat - 2.2, lon + 3.3, lat + 2.2, 6)
+    return domain.points(spark, d).select("id", F.explode(met).alias("t")).select("id", "t.*")
+
+
+@query("SELECT event_id, rset, x + 1 AS x, y - 1 AS y FROM access_log WHERE x + 1 < 2 ** (4 - rset) AND y > 0")
+def f9_border_tiles(spark, d):
+    beside = tiles.border(F.lit(8192), F.lit(8192), F.col("rset"), F.col("x"), F.col("y"), 1, -1)
+    return domain.access_log(spark, d).select("event_id", beside.alias("t")).filter("t is not null").select("event_id", "t.*")
+
+
+@query("SELECT p_partkey AS k, (p_size % 5)::INT AS rset, (p_partkey % 40 * 33) // (2 ** (p_size % 5))::BIGINT AS first_row FROM part")
+def r16_part_offsets(spark, d):
+    k, rset = F.col("p_partkey"), (F.col("p_size") % 5).cast("int")
+    return read(spark, d, "part").select(k.alias("k"), rset.alias("rset"), tiles.part_offset(k % 40, F.lit(33), rset).cast("long").alias("first_row"))
+
+
+@query("SELECT img, round(atan2(-(img % 7 - 3), -(img % 11 + 1)), 9) AS angle FROM images")
+def g15_angle_off_north(spark, d):
+    img, lon, lat = F.col("img"), F.col("lon0"), F.col("lat0")
+    return domain.images(spark, d).select("img", F.round(geo.angle_off_north(lon, lat, lon + img % 7 - 3, lat - img % 11 - 1), 9).alias("angle"))

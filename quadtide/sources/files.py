@@ -11,10 +11,21 @@ from pyspark.sql import functions as F
 
 
 def features(documents: DataFrame, column: str = "value") -> DataFrame:
-    """GeoJSON collections, one a row, to rows (kind, coordinates as a variant, properties). Texts that do not parse give none."""
-    parsed = documents.select(F.explode(F.try_variant_get(F.try_parse_json(F.col(column)), "$.features", "array<variant>")).alias("f"))
+    """GeoJSON texts, one a row, to rows (kind, coordinates as a variant, properties). Texts that do not parse give none.
+
+    A text is a collection of features, one feature, or a bare geometry, which has no properties.
+    """
+    parsed = documents.select(F.try_parse_json(F.col(column)).alias("doc"))
+    kind = F.try_variant_get("doc", "$.type", "string")
+    items = F.when(kind == "FeatureCollection", F.try_variant_get("doc", "$.features", "array<variant>")).when(kind.isNotNull(), F.array("doc"))
     part = lambda path, kind: F.try_variant_get("f", path, kind)
-    return parsed.select(part("$.geometry.type", "string").alias("kind"), part("$.geometry.coordinates", "variant").alias("coordinates"), part("$.properties", "map<string,string>").alias("properties"))
+    own = part("$.type", "string") == "Feature"
+    rows = parsed.select(F.explode(items).alias("f")).select("f", own.alias("own"))
+    return rows.select(
+        F.when(F.col("own"), part("$.geometry.type", "string")).otherwise(part("$.type", "string")).alias("kind"),
+        F.when(F.col("own"), part("$.geometry.coordinates", "variant")).otherwise(part("$.coordinates", "variant")).alias("coordinates"),
+        F.when(F.col("own"), part("$.properties", "map<string,string>")).alias("properties"),
+    )
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
@@ -25,9 +36,12 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_areas(spark: SparkSession, path: str) -> DataFrame:
-    """Polygon features of GeoJSON files with the box of their outer ring: (ring, west, south, east, north, properties)."""
-    rows = features(spark.read.text(path, wholetext=True, recursiveFileLookup=True)).filter("kind = 'Polygon'")
-    ring = F.try_variant_get("coordinates", "$", "array<array<array<double>>>")[0]
+    """Polygons of GeoJSON files, those of a multipolygon one by one, with the box of their outer ring: (ring, west, south, east, north, properties)."""
+    rows = features(spark.read.text(path, wholetext=True, recursiveFileLookup=True)).filter("kind IN ('Polygon', 'MultiPolygon')")
+    one = F.array(F.try_variant_get("coordinates", "$", "array<array<array<double>>>"))
+    many = F.try_variant_get("coordinates", "$", "array<array<array<array<double>>>>")
+    rows = rows.select(F.explode(F.when(F.col("kind") == "Polygon", one).otherwise(many)).alias("rings"), "properties")
+    ring = F.get("rings", F.lit(0))
     axis = lambda i: F.transform("ring", lambda p: p[i])
     sides = (f(axis(i)).alias(n) for n, f, i in (("west", F.array_min, 0), ("south", F.array_min, 1), ("east", F.array_max, 0), ("north", F.array_max, 1)))
     return rows.select(ring.alias("ring"), "properties").select("ring", *sides, "properties")

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quadtide import queries
-from quadtide.functions import camera, geo, visibility
+from quadtide.functions import camera, geo, tiles, visibility
 from quadtide.operators import cluster, priority, warehouse
-from quadtide.sources import logs
+from quadtide.sources import files, logs
 from quadtide.streaming import heatmap as streams
 
 SF = "/root/testdata/sf0.001"
@@ -146,3 +146,32 @@ def test_greedy_clusters_keep_all_points(spark):
         assert sum(r.n for r in rows if r.zoom == z) == 200
     counts = [sum(1 for r in rows if r.zoom == z) for z in range(6)]
     assert counts == sorted(counts) and not any(math.isnan(r.x) for r in rows)
+
+
+def test_areas_in_every_form(spark, tmp_path):
+    ring, other = [[0, 0], [2, 0], [2, 1], [0, 0]], [[5, 5], [6, 5], [6, 7], [5, 5]]
+    texts = [
+        {"type": "Polygon", "coordinates": [ring]},
+        {"type": "MultiPolygon", "coordinates": [[ring], [other]]},
+        {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [other]}, "properties": {"a": "1"}},
+        {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [ring]}, "properties": {"a": "2"}}, {"type": "Feature", "geometry": None}]},
+        [1],
+    ]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.json").write_text(json.dumps(text))
+    (tmp_path / "broken.json").write_text("{")
+    got = sorted((r.west, r.south, r.east, r.north, (r.properties or {}).get("a", "")) for r in files.read_areas(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, 2, 1, ""), (0, 0, 2, 1, ""), (0, 0, 2, 1, "2"), (5, 5, 6, 7, ""), (5, 5, 6, 7, "1")]
+
+
+def test_scored_and_named(spark):
+    rows = spark.createDataFrame([("a", 1), ("Anonymous", 2), (None, 3)], "user string, x int")
+    assert [tuple(r) for r in priority.scored(priority.named(rows)).collect()] == [("a", 1, 1)]
+
+
+def test_tiles_beside_and_of_parts(spark):
+    rows = spark.createDataFrame([(0, 0), (15, 15)], "x long, y long")
+    size, rset = F.lit(8192), F.lit(0)
+    beside = lambda dx, dy: tiles.border(size, size, rset, F.col("x"), F.col("y"), dx, dy)["x"]
+    got = rows.orderBy("x").select(beside(1, 0), beside(-1, 0), beside(0, -1), tiles.part_offset(F.lit(3), F.lit(5), F.lit(2))).collect()
+    assert [tuple(r) for r in got] == [(1, None, None, 3), (None, 14, 15, 3)]
