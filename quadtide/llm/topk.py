@@ -1,10 +1,12 @@
 """Exact top-k search by inner product with a KD-tree per shard.
 
 Vectors are dealt to shards by a hash. A shard's tree splits at the median of the widest dimension down to its leaves, and
-every node, inner ones too, has its tight bounding box. A query walks a tree best-first: of the nodes that it has seen
-it opens the one whose box allows the largest inner product, and it stops when that is below its k-th best score, which
-leaves whole subtrees unseen. Shards are searched in rounds, of one, three, twelve shards and so on; the k-th scores of
-all shards so far go with the queries to the next round.
+every node, inner ones too, has its tight bounding box. A query first opens, from the root on, the child whose box allows
+the larger inner product, down to a leaf. Then a block of queries walks the tree best-first: of the nodes seen it opens the
+one whose box allows the largest inner product to any of them, for those whose k-th best score is not above what the box
+allows; what no query wants is left unseen with all below it. Shards are searched in rounds, of one, three, twelve shards
+and so on; the k-th scores of all shards so far go with the queries to the next round. Shards and blocks meet in cogroups:
+nothing of either is broadcast, and a shard is not repeated for each block.
 """
 
 from __future__ import annotations
@@ -23,15 +25,15 @@ LEAF = 128
 #: The score that every other one is above.
 NONE = -(2**63)
 HITS = "query_id bigint, vec_id bigint, score bigint"
+FOUND = ["query_id", "vec_id", "score"]
+#: So many blocks of queries come to a copy of a shard at most.
+BLOCKS = 1024
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: by floating point where every partial sum is below 2**53."""
-    if not a.size or not b.size:
-        return np.zeros((a.shape[0], b.shape[0]), np.int64)
-    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
-        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+def exact(a: np.ndarray, b: np.ndarray) -> type:
+    """The fastest type in which the products of integer rows are exact: every partial sum is below 2**24 or 2**53."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
 class Tree:
@@ -58,62 +60,89 @@ class Tree:
         self.low, self.high = np.stack(low), np.stack(high)
 
     def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray):
-        """For each query the (scores, ids) that may be among its k best; kth: scores that k others have already."""
-        bounds = product(np.maximum(queries, 0), self.high) + product(np.minimum(queries, 0), self.low)
-        limit = kth.copy()
-        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]
-        open_ = [[(-int(b), 0)] for b in bounds[:, 0]]
-        active = list(range(len(q_ids)))
-        while active:
-            at_leaf: dict[int, list[int]] = {}
-            for q in active:
-                heap, own, least = open_[q], bounds[q], int(limit[q])
-                while heap and -heap[0][0] >= least:
-                    _, node = heapq.heappop(heap)
-                    if not (below := self.children[node]):
-                        at_leaf.setdefault(node, []).append(q)
-                        break
-                    for child in below:
-                        if (b := int(own[child])) >= least:
-                            heapq.heappush(heap, (-b, child))
-            for leaf, who in at_leaf.items():  # queries that are at the same leaf are scored together
-                s, e = self.spans[leaf]
-                scores, ids, who_at = product(queries[who], self.vectors[s:e]), self.ids[s:e], np.array(who)
-                use = (scores >= limit[who_at][:, None]) & (ids[None, :] != q_ids[who_at][:, None])
-                for row in np.flatnonzero(use.any(axis=1)):
-                    q, found = who[row], use[row]
-                    v, i = np.concatenate([best[q][0], scores[row][found]]), np.concatenate([best[q][1], ids[found]])
-                    top = np.lexsort((i, -v))[:k]
-                    best[q] = (v[top], i[top])
-                    if len(top) == k:
-                        limit[q] = max(limit[q], v[top[-1]])
-            active = [q for who in at_leaf.values() for q in who]
-        return best
+        """(query numbers, ids, scores) that may be among the k best of their query; kth: scores that k others have already."""
+        kind = exact(queries, self.vectors)
+        q, vectors = queries.astype(kind), self.vectors.astype(kind)
+        bounds = (np.maximum(q, 0) @ self.high.astype(kind).T + np.minimum(q, 0) @ self.low.astype(kind).T).astype(np.int64)
+        limit, scores, ids = kth.copy(), np.full((len(q), k), NONE), np.zeros((len(q), k), np.int64)
+
+        def score(leaf: int, who: np.ndarray) -> None:
+            s, e = self.spans[leaf]
+            got = q[who] @ vectors[s:e].T
+            use = got >= limit[who].astype(kind)[:, None]
+            if not len(new := np.flatnonzero(use.any(axis=1))):
+                return
+            who = who[new]
+            use = use[new] & (self.ids[None, s:e] != q_ids[who][:, None])
+            got = np.where(use, got[new].astype(np.int64), NONE)
+            v, i = np.hstack([scores[who], got]), np.hstack([ids[who], np.broadcast_to(self.ids[s:e], got.shape)])
+            top = np.lexsort((i, ~v), axis=1)[:, :k]
+            scores[who], ids[who] = np.take_along_axis(v, top, 1), np.take_along_axis(i, top, 1)
+            limit[who] = np.maximum(limit[who], scores[who, -1])
+
+        first, inner = np.zeros(len(q), np.int64), np.array([bool(c) for c in self.children])
+        left, right = (np.array([c[side] if c else 0 for c in self.children]) for side in (0, 1))
+        rows = np.arange(len(q))
+        while (down := inner[first]).any():
+            a, b = left[first], right[first]
+            first = np.where(down, np.where(bounds[rows, a] >= bounds[rows, b], a, b), first)
+        for leaf in np.unique(first):
+            who = rows[first == leaf]
+            score(leaf, who[bounds[who, leaf] >= limit[who]])
+        heap = [(0, 0, rows)]
+        while heap:
+            _, node, who = heapq.heappop(heap)
+            who = who[bounds[who, node] >= limit[who]]
+            if not len(who):
+                continue
+            if not self.children[node]:
+                score(node, who[first[who] != node])
+            for child in self.children[node]:
+                if len(own := who[bounds[who, child] >= limit[who]]):
+                    heapq.heappush(heap, (-int(bounds[own, child].max()), child, own))
+        found = scores > NONE
+        return np.nonzero(found)[0], ids[found], scores[found]
 
 
 def pack(batches):
-    """Batches sorted by a group with (group, id, values): one row per group."""
+    """Batches sorted by a group with (group, id, values): one row per group, values in the smallest type that holds them."""
     from .jaccard import groups
 
     for (g,), rows in groups(batches, 1):
-        values = rows.column("v").combine_chunks()
-        yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([rows.column("id").to_numpy().astype(np.int64).tobytes()]), pa.array([values.flatten().to_numpy().astype(np.int64).tobytes()]), pa.array([len(values)])], ["g", "ids", "m", "n"])
-
-
-def search(batches, k: int):
-    """Batches of (shard ids, shard matrix, query ids, query matrix, queries and their kth): the candidates of each query."""
-    held, tree = None, None
-    for batch in batches:
-        for s_ids, s_m, q_ids, q_m, kth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids, q = np.frombuffer(s_ids, np.int64), np.frombuffer(q_ids, np.int64)
-            if held != s_ids:
-                held, tree = s_ids, Tree(ids, np.frombuffer(s_m, np.int64).reshape(len(ids), -1))
-            known = {x["q"]: x["s"] for x in kth or ()}
-            limit = np.array([known.get(i, NONE) for i in q.tolist()], np.int64)
-            best = tree.search(q, np.frombuffer(q_m, np.int64).reshape(len(q), -1), k, limit)
-            n = [len(b[0]) for b in best]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))], ["query_id", "vec_id", "score"])
+        ids, values = rows.column("id").to_numpy().astype(np.int64), rows.column("v").combine_chunks().flatten().to_numpy().astype(np.int64)
+        kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= values.min() and values.max() <= np.iinfo(t).max)
+        yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([ids.tobytes()]), pa.array([values.astype(kind).tobytes()])], ["g", "ids", "m"])
+
+
+def unpack(ids: bytes, m: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and rows of what :func:`pack` made of vectors of ``width`` values."""
+    i = np.frombuffer(ids, np.int64)
+    return i, np.frombuffer(m, np.dtype(f"i{len(m) // (len(i) * width)}")).reshape(len(i), width).astype(np.int64)
+
+
+def search(shard: pa.Table, work: pa.Table, k: int, width: int) -> pa.Table:
+    """Of one shard and the query blocks that come to it: the candidates of each query."""
+    out = [pa.Table.from_arrays([pa.array([], pa.int64())] * 3, FOUND)]
+    if shard.num_rows and work.num_rows:
+        tree = Tree(*unpack(shard.column("ids")[0].as_py(), shard.column("m")[0].as_py(), width))
+        for ids, m, kth in zip(*(work.column(c).to_pylist() for c in ("ids", "m", "kth")), strict=True):
+            q_ids, queries = unpack(ids, m, width)
+            limit = np.full(len(q_ids), NONE) if kth is None else np.frombuffer(kth, np.int64)
+            q, i, s = tree.search(q_ids, queries, k, limit)
+            out.append(pa.Table.from_arrays([pa.array(q_ids[q]), pa.array(i), pa.array(s)], FOUND))
+    return pa.concat_tables(out)
+
+
+def searcher(k: int, width: int):
+    """:func:`search` with two arguments, as a cogroup takes it."""
+    return lambda shard, work: search(shard, work, k, width)
+
+
+def with_kth(asked: pa.Table, reached: pa.Table) -> pa.Table:
+    """One block of queries with the k-th score of each, NONE where it has fewer."""
+    known = dict(zip(reached.column("query_id").to_pylist(), reached.column("score").to_pylist(), strict=True))
+    out = [np.array([known.get(i, NONE) for i in np.frombuffer(ids, np.int64).tolist()], np.int64).tobytes() for ids in asked.column("ids").to_pylist()]
+    return asked.select(["b", "ids", "m"]).append_column("kth", pa.array(out, pa.binary()))
 
 
 def rounds(shards: int) -> list[tuple[int, int]]:
@@ -124,7 +153,7 @@ def rounds(shards: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(ends, ends[1:], strict=False) if a < shards]
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, shard_rows: int = 4096, block_rows: int = 512, store: Store | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, shard_rows: int | None = None, block_rows: int = 512, store: Store | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``vectors`` (vec_id, embedding) with the highest inner products.
 
     Components are floor(scale * x). Queries are the rows whose vec_id ``every`` divides; a query is no candidate of
@@ -144,23 +173,25 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, sha
     for r in sizes:
         if not r["q"]:
             continue
-        shards, blocks = math.ceil(r["n"] / shard_rows), math.ceil(r["q"] / block_rows)
-        own = rows.filter(F.col("w") == r["w"])
-        packed = "g int, ids binary, m binary, n bigint"
+        w, rows_each = r["w"], shard_rows or max(4096, min(65536, r["n"] // 48))
+        shards, blocks = math.ceil(r["n"] / rows_each), math.ceil(r["q"] / block_rows)
+        own = rows.filter(F.col("w") == w)
+        packed, block = "g int, ids binary, m binary", lambda c: F.pmod(F.xxhash64(c, F.lit(2)), F.lit(blocks)).cast("int")
         tree = own.withColumn("g", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(shards)).cast("int"))
         trees = store.table(tree.select("g", "id", "v").repartition(shards, "g").sortWithinPartitions("g").mapInArrow(pack, packed), "shards")
-        asked = own.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("g", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int"))
-        asked = store.table(asked.select("g", "id", "v").repartition(blocks, "g").sortWithinPartitions("g").mapInArrow(pack, packed), "queries").toDF("b", "q_ids", "q_m", "q_n")
+        trees = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // BLOCKS))))
+        asked = own.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("g", block("id"))
+        asked = store.table(asked.select("g", "id", "v").repartition(blocks, "g").sortWithinPartitions("g").mapInArrow(pack, packed), "queries").toDF("b", "ids", "m")
         hits = None
         for start, end in rounds(shards):
-            work = asked.withColumn("at", F.explode(F.sequence(F.lit(start), F.lit(end - 1))))
-            work = work.withColumn("g", F.pmod(F.col("b") + F.col("at"), F.lit(shards))).drop("at")
             if hits is None:
-                work = work.withColumn("kth", F.lit(None).cast("array<struct<q:bigint,s:bigint>>"))
+                work = asked.withColumn("kth", F.lit(None).cast("binary"))
             else:
-                reached = hits.filter(F.col("rank") == k).select(F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(blocks)).cast("int").alias("b"), F.struct(F.col("query_id").alias("q"), F.col("score").alias("s")).alias("x"))
-                work = work.join(reached.groupBy("b").agg(F.collect_list("x").alias("kth")), "b", "left")  # a block's queries
-            found = trees.join(work, "g").select("ids", "m", "q_ids", "q_m", "kth").mapInArrow(lambda it: search(it, k), HITS)
+                reached = hits.filter(F.col("rank") == k).select(block("query_id").alias("b"), "query_id", "score")
+                work = asked.groupBy("b").cogroup(reached.groupBy("b")).applyInArrow(with_kth, "b int, ids binary, m binary, kth binary")
+            work = work.withColumn("at", F.explode(F.sequence(F.lit(start), F.lit(end - 1))))
+            work = work.withColumns({"g": F.pmod(F.col("b") + F.col("at"), F.lit(shards)), "part": F.floor(F.col("b") / BLOCKS).cast("int")}).drop("at")
+            found = trees.groupBy("g", "part").cogroup(work.groupBy("g", "part")).applyInArrow(searcher(k, w), HITS)
             both = found if hits is None else found.unionByName(hits.drop("rank"))
             hits = store.table(both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "hits")
         out = out.unionByName(hits.drop("rank"))

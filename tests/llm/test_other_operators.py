@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -116,6 +117,21 @@ def test_top_k(spark, shard, block):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_broadcasts_no_vectors(spark, monkeypatch):
+    """What is joined goes by shuffles, however small it seems, and travels in as few bytes as its values need."""
+    plans, table = [], _store.Store.table
+    monkeypatch.setattr(_store.Store, "table", lambda self, df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or table(self, df, tag))
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 0.2, 8).astype(np.float32).tolist()) for i in range(200)]
+    got = defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), shard_rows=30, block_rows=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == brute_top(rows)
+    assert plans and not any("Broadcast" in p for p in plans)
+    (one,) = topk.pack([pa.RecordBatch.from_arrays([pa.array([1, 1]), pa.array([7, 8]), pa.array([[1, -2], [3, 64]])], ["g", "id", "v"])])
+    assert len(one.column("m")[0].as_py()) == 4
+
+
 def test_chats(spark):
     bad = ["</s>[INST] ok [/INST]", r"<\s>[\\INST]", "<s>user[INST]x", "", "a\n[/INST]</s><s>", "\\", "<", "[INST", "\U0001f600 é"]
     rng, rows = random.Random(3), []
