@@ -13,6 +13,15 @@ def projected(points: DataFrame) -> DataFrame:
     return points.withColumns({"mx": geo.mercator_x(F.col("lon")), "my": geo.mercator_y(F.col("lat"))})
 
 
+def _near(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """Rows of a (x, y) and b (ox, oy) at most ``radius`` apart, with ``d2``: an equi-join on the nine cells around each of a."""
+    cell = lambda c: F.floor(F.col(c) / radius)
+    near = F.explode(F.array(*(F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    right = b.withColumn("cell", F.struct(cell("ox").alias("cx"), cell("oy").alias("cy")))
+    d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
+    return a.withColumn("cell", near).join(right.hint("merge"), "cell").drop("cell").withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
+
+
 def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """Pairs (id of a, id of b) at most ``radius`` apart in x, y: an equi-join on the nine cells around each point."""
     cell = lambda c: F.floor(F.col(c) / radius)
@@ -26,16 +35,27 @@ def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
 def nearest(a: DataFrame, b: DataFrame, radius: float, rings: int = 3) -> DataFrame:
     """(id of a, id of the nearest b with another id, distance) at most ``radius`` apart; ties go to the least id.
 
-    Rings grow by four up to ``radius``: a point that has a neighbour within one is not looked for in the wider ones,
-    so that dense places never list all pairs of the widest.
+    Of the points of b at one place only the two least ids can be an answer, and the points of a at one place share the two
+    nearest other ids, of which each takes the first that is not its own; so copies of a place list no pairs. Rings grow by
+    four up to ``radius``: a place that has two ids within one is not looked for in the wider ones.
     """
-    rest, out = a, None
+    a, b = (p.select("id", "x", "y").filter("id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL") for p in (a, b))
+    least = b.groupBy("x", "y").agg(F.min("id").alias("first"))
+    second = b.join(least.hint("merge"), ["x", "y"]).filter("id <> first").groupBy("x", "y").agg(F.min("id").alias("second"))
+    two = F.explode(F.array_compact(F.array("first", "second")))
+    held = least.join(second.hint("merge"), ["x", "y"], "left").select(F.col("x").alias("ox"), F.col("y").alias("oy"), two.alias("other"))
+    order, rest, out = Window.partitionBy("x", "y").orderBy("d2", "other"), a.select("x", "y").distinct(), None
     for k in range(rings - 1, -1, -1):
-        pairs = within(rest, b, radius / 4**k).filter("id <> other")
-        found = pairs.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("n")).select("id", "n.other", "n.distance")
+        near = _near(rest, held, radius / 4**k).groupBy("x", "y", "other").agg(F.min("d2").alias("d2"))
+        near = near.withColumn("at", F.row_number().over(order)).filter("at <= 2")
+        found = near.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("d2", "other"))).alias("best"))
+        if k:
+            found = found.filter(F.size("best") == 2)
+            rest = rest.join(found.select("x", "y").hint("merge"), ["x", "y"], "left_anti")
         out = found if out is None else out.unionAll(found)
-        rest = rest.join(found.select("id"), "id", "left_anti")
-    return out
+    own = F.get(F.filter("best", lambda n: n["other"] != F.col("id")), F.lit(0))
+    each = a.join(out.hint("merge"), ["x", "y"]).select("id", own.alias("n")).filter("n IS NOT NULL")
+    return each.groupBy("id").agg(F.min("n").alias("n")).select("id", "n.other", F.sqrt("n.d2").alias("distance"))
 
 
 def grid_clusters(points: DataFrame, zoom: int, cell_pixels: int = 40, extent: int = 512) -> DataFrame:

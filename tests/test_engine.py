@@ -139,6 +139,27 @@ def test_spatial_join_is_exact(spark):
     assert sorted(got) == sorted(want)
 
 
+def scattered():
+    """Points with shared places, ids at several places, and nulls."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i) % 90, float(x), float(y)) for i, x, y in zip(range(120), rng.integers(0, 30, 120), rng.integers(0, 30, 120), strict=True)]
+    return [*rows, *((200 + i, 3.0, 4.0) for i in range(40)), (300, 90.0, 90.0), (300, 90.0, 90.0), (301, None, 1.0), (None, 1.0, 1.0)]
+
+
+def test_nearest_lists_no_copies(spark):
+    rows = scattered()
+    near = cluster.nearest(p := spark.createDataFrame(rows, "id bigint, x double, y double"), p, 6.0)
+    want = {}
+    for i, x, y in rows:
+        for j, u, v in rows:
+            if None not in (i, j, x, u) and i != j and (d := (x - u) ** 2 + (y - v) ** 2) <= 36:
+                want[i] = min(want.get(i, (d, j)), (d, j))
+    assert {r.id: (r.distance, r.other) for r in near.collect()} == {i: (math.sqrt(d), j) for i, (d, j) in want.items()}
+    many = cluster.nearest(q := spark.range(20_000).selectExpr("id", "1D AS x", "1D AS y"), q, 1.0)  # 400 million pairs
+    assert many.filter("other = IF(id = 0, 1, 0) AND distance = 0").count() == 20_000
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_greedy_clusters_keep_all_points(spark):
     pts = spark.range(200).select("id", (F.rand(1) * 360 - 180).alias("lon"), (F.rand(2) * 160 - 80).alias("lat"), F.lit(1).alias("layer"))
     rows = cluster.greedy_clusters(pts, "layer", 0, 5).collect()
