@@ -22,14 +22,18 @@ def _near(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return a.withColumn("cell", near).join(right.hint("merge"), "cell").drop("cell").withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
 
 
-def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """Pairs (id of a, id of b) at most ``radius`` apart in x, y: an equi-join on the nine cells around each point."""
-    cell = lambda c: F.floor(F.col(c) / radius)
-    near = F.explode(F.array(*(F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    left = a.withColumn("cell", near)
-    right = b.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.struct(cell("x").alias("cx"), cell("y").alias("cy")).alias("cell"))
-    d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    return left.join(right, "cell").filter(d2 <= radius * radius).select("id", "other", F.sqrt(d2).alias("distance"))
+def within(a: DataFrame, b: DataFrame, radius: float, digits: int | None = None) -> DataFrame:
+    """Pairs (id of a, id of b) at most ``radius`` apart in x, y, with their distance, rounded to ``digits`` if given.
+
+    Places are compared, not points: those that share one get their pairs by joins with the place. No side is broadcast,
+    since what a file's size says of its points falls far short of what they take in memory.
+    """
+    other = b.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    pairs = _near(a.select("x", "y").distinct(), other.select("ox", "oy").distinct(), radius)
+    distance = F.sqrt("d2") if digits is None else F.round(F.sqrt("d2"), digits)
+    pairs = pairs.select("x", "y", "ox", "oy", distance.alias("distance"))
+    left = a.select("id", "x", "y").join(pairs.hint("merge"), ["x", "y"])
+    return left.join(other.hint("merge"), ["ox", "oy"]).select("id", "other", "distance")
 
 
 def nearest(a: DataFrame, b: DataFrame, radius: float, rings: int = 3) -> DataFrame:

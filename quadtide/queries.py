@@ -270,7 +270,7 @@ def a14_greedy_clusters(spark, d):
 @query("SELECT a.id, b.id AS other, round(sqrt((a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2), 6) AS distance FROM points a JOIN points b ON (a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2 <= 25")
 def j9_points_within(spark, d):
     p = domain.points(spark, d).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return cluster.within(p, p, 5.0).withColumn("distance", F.round("distance", 6))
+    return cluster.within(p, p, 5.0, digits=6)
 
 
 @query("SELECT id, other FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY (a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2, b.id) AS r FROM points a JOIN points b ON a.id <> b.id AND (a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2 <= 400) WHERE r = 1")

@@ -160,6 +160,14 @@ def test_nearest_lists_no_copies(spark):
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
 
 
+def test_within_compares_places(spark):
+    rows = scattered()
+    near = cluster.within(p := spark.createDataFrame(rows, "id bigint, x double, y double"), p, 5.0, digits=6)
+    want = sorted((i if i is not None else -1, j if j is not None else -1, round(math.sqrt((x - u) ** 2 + (y - v) ** 2), 6)) for i, x, y in rows for j, u, v in rows if None not in (x, u) and (x - u) ** 2 + (y - v) ** 2 <= 25)
+    assert sorted((-1 if r.id is None else r.id, -1 if r.other is None else r.other, r.distance) for r in near.collect()) == want
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_greedy_clusters_keep_all_points(spark):
     pts = spark.range(200).select("id", (F.rand(1) * 360 - 180).alias("lon"), (F.rand(2) * 160 - 80).alias("lat"), F.lit(1).alias("layer"))
     rows = cluster.greedy_clusters(pts, "layer", 0, 5).collect()
