@@ -139,7 +139,8 @@ def mosaic(views: DataFrame, layers: DataFrame, cols: int, rows: int, size: floa
 
     Views are (view, min_lon, min_lat, max_lon, max_lat), layers (img, z, img_min_lon, ...). Of equal boxes the lowest
     counts. In each square of a grid the lowest layer that covers it whole hides all that are above it; what is left there
-    meets the middles in that square, so the work follows the cells asked for and not the depth of the stack. ``size``
+    meets the middles in that square, so the work follows the cells asked for and not the depth of the stack. Views with one
+    box share its cells, which are decided once; of a view with several boxes each cell shows the lowest of all. ``size``
     is a power of two, by which the squares are exact. Cells that no layer covers give no row; rows run from the south.
     """
     from .priority import grid_cells
@@ -156,11 +157,16 @@ def mosaic(views: DataFrame, layers: DataFrame, cols: int, rows: int, size: floa
     lowest = held.filter("whole").groupBy("square").agg(F.min("top").alias("floor"))
     part = held.join(lowest, "square", "left").filter(F.col("floor").isNull() | (F.col("top") <= F.col("floor"))).select("square", "top", *box)
     at = lambda low, high, k, n: F.col(low) + (F.col(k) + 0.5) * ((F.col(high) - F.col(low)) / n)
-    cells = views.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    middles = cells.select("view", "i", "j", at("min_lon", "max_lon", "i", cols).alias("x"), at("min_lat", "max_lat", "j", rows).alias("y"))
+    seen = ["min_lon", "min_lat", "max_lon", "max_lat"]
+    cells = views.select(*seen).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    middles = cells.select(*seen, "i", "j", at("min_lon", "max_lon", "i", cols).alias("x"), at("min_lat", "max_lat", "j", rows).alias("y"))
     middles = middles.withColumn("square", F.struct(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")))
     inside = (F.col("x") >= west) & (F.col("x") < east) & (F.col("y") >= south) & (F.col("y") < north)
-    return middles.join(part, "square").filter(inside).groupBy("view", "i", "j").agg(F.min("top").alias("top")).select("view", "i", "j", F.col("top.img").alias("img"))
+    shown = middles.join(part, "square").filter(inside).groupBy(*seen, "i", "j").agg(F.min("top").alias("top"))
+    of_view = views.select("view", *seen).distinct().withColumn("boxes", F.count("*").over(Window.partitionBy("view")))
+    out = of_view.join(shown.hint("merge"), seen).select("view", "i", "j", "top", "boxes")
+    several = out.filter("boxes > 1").groupBy("view", "i", "j").agg(F.min("top").alias("top"))
+    return out.filter("boxes = 1").select("view", "i", "j", "top").unionAll(several).select("view", "i", "j", F.col("top.img").alias("img"))
 
 
 def finest(requests: DataFrame, stored: DataFrame, max_rset: int) -> DataFrame:

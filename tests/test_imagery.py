@@ -1,6 +1,7 @@
 """Functions, operators, readers and services that have no SQL: goldens, round trips and brute force."""
 
 import json
+import re
 
 import numpy as np
 import pandas as pd
@@ -270,6 +271,26 @@ def test_mosaic_takes_the_lowest(spark):
     assert got == {(1, i, j): 8 if i in (1, 2) and j < 2 else 7 for i in range(4) for j in range(4) if i < 2 or i == 2 and j < 2}
 
 
+def test_mosaic_decides_a_box_once(spark):
+    """Views with one box share its cells; of a view with several boxes each cell shows the lowest layer."""
+    boxes = [(0.0, 0.0, 4.0, 4.0), (2.0, 0.0, 6.0, 4.0)]
+    rows = [*((v, *boxes[v % 2]) for v in range(1, 41)), (50, *boxes[0]), (50, *boxes[1]), (51, *boxes[0]), (51, *boxes[0]), (52, None, 0.0, 4.0, 4.0)]
+    views = spark.createDataFrame(rows, "view int, min_lon double, min_lat double, max_lon double, max_lat double")
+    held = [(7, 1, -1.0, -1.0, 3.0, 9.0), (8, 0, 4.0, 0.0, 6.0, 2.0), (9, 2, 0.0, 0.0, 9.0, 9.0)]
+    layers = spark.createDataFrame(held, "img int, z int, img_min_lon double, img_min_lat double, img_max_lon double, img_max_lat double")
+    want = {}
+    for v, w, s, e, n in rows:
+        for i in range(4 * (w is not None)):
+            for j in range(4):
+                x, y = w + (i + 0.5) * (e - w) / 4, s + (j + 0.5) * (n - s) / 4
+                if tops := [(z, img) for img, z, a, b, c, d in held if a <= x < c and b <= y < d]:
+                    want[v, i, j] = min(want.get((v, i, j), (9, 9)), *tops)
+    mosaic = raster.mosaic(views, layers, 4, 4)
+    got = mosaic.collect()
+    assert len(got) == len(want) and {(r.view, r.i, r.j): r.img for r in got} == {k: img for k, (_, img) in want.items()}
+    assert re.search(r"Aggregate \[min_lon#\d+, min_lat#\d+, max_lon#\d+, max_lat#\d+, i#\d+, j#\d+\]", mosaic._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_capabilities_are_xml(spark):
     import xml.etree.ElementTree as ET
 
