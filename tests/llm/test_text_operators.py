@@ -401,6 +401,48 @@ def test_quality(spark, corpus):
     assert quality.fertility_rules(spark.createDataFrame(EDGE, SCHEMA)).count() == len(EDGE)
 
 
+def test_quality_measures(corpus, monkeypatch):
+    """Measures and script against brute force, in one call of the encoder for many texts and whatever the lots and the memory are."""
+    import math
+
+    import public_tokenizers
+    import pyarrow as pa
+    import sentencepiece
+
+    plain, calls = sentencepiece.SentencePieceProcessor, []
+
+    class Counted(plain):
+        def encode(self, *args, **kwargs):
+            calls.append(1)
+            return super().encode(*args, **kwargs)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Counted)
+    mixed = ["abc где где", "абв abc", "αβγ δε abc 12", "日本語 日本", "שלום", "हिन्दी", "12 34 ß\u3000é", "١٢ — …", "ᄀ가 \U00020000", "😀 " * 30, "a", "a a", "abc\x0b\n\x0c\ndef\n\x1c\n\x1c\n\u3000\n\u3000"]
+    texts = [*corpus, *mixed, *(r[1] for r in EDGE)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(["x"] * len(texts)), pa.array(texts, pa.string())], names=["doc_id", "lang", "text"])
+    (out,) = quality.measure(iter([batch]), None, 20, 8, 30)
+    assert len(calls) < 20 < len({w for t in texts for w in words(t)})
+    sp = plain(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    expect = []
+    for r, t in zip(out.to_pylist(), texts, strict=True):
+        ids = [i for w in words(t) for i in sp.encode(w)]
+        entropy = sum(-c / len(ids) * math.log(c / len(ids)) for c in Counter(ids).values()) / math.log(len(ids)) if len(ids) > 1 else 0
+        expect.append((len(ids), sum(map(sp.is_byte, ids)), pytest.approx(entropy, abs=1e-9)))
+        assert (r["n_tokens"], round(r["byte_share"] * len(ids)), r["token_entropy"]) == expect[-1]
+        assert r["chars_per_token"] == (r["word_chars"] / len(ids) if ids else 0)
+        lines = (t or "").split("\n")
+        assert r["n_dup_lines"] == sum(bool(words(x)) and x in lines[:i] for i, x in enumerate(lines))
+        blocks = Counter(next(name for name, end in (("latin", 0x250), ("greek", 0x400), ("cyrillic", 0x530), ("semitic", 0x800), ("indic", 0x1000), ("other", 0x2E80), ("cjk", 0xD7FF), ("other", 0x110000)) if ord(c) < end) for c in t or "" if c.isalpha())
+        best = min(blocks, key=lambda b: (-blocks[b], b)) if blocks else "none"
+        assert r["script"] == ("latin" if (t or "").isascii() else best)
+    for chars, most, limit, part in ((1, 1, 1, 1000), (300, 7, 40, 5), (10**9, 10**9, 10**9, 10**9)):
+        pieces, got = quality.Pieces(limit=limit, slice=part), []
+        for lot in quality.lots(((0, "", t) for t in texts), chars, most):
+            assert len(lot) == 1 or len(lot) <= most and sum(len(t or "") for _, _, t in lot) <= chars
+            got += zip(*pieces.tally([words(t) for _, _, t in lot]), strict=True)
+        assert got == expect
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, rule):
     texts = ["one line\nthe next  \n\n  last", "a\n\n\nb", "ümlaut é\n日本語\n", *(r[1] for r in EDGE)]
